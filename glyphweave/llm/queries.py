@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, ngram_join, packing
+from . import langid, linededup, lm, media, mixing, ngram_join, packing, sharding, tokencount, topk
+
+
+#: Shards of the registered query: one for each reader of a training job.
+SHARDS = 64
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_prefixes(_read(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs.select("doc_id", "lang", "text"), langid.fit(docs)).drop("text")
@@ -23,28 +35,63 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.source_rates(docs))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"), shards=SHARDS)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_read(spark, sf_dir, "documents"))[1].select("doc_id", "text", "lines_in", "lines_kept")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.captioned(_read(spark, sf_dir, "documents")))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1,
+    "op2_token_counts": op2,
     "op3_language_id": op3,
     "op4_mixing": op4,
+    "op5_sharding": op5,
     "op6_line_dedup": op6,
+    "op7_lm_scoring": op7,
     "op8_ngram_jaccard_join": op8,
+    "op9_media_columns": op9,
     "op10_best_fit_packing": op10,
 }
 _WORDS = "CASE WHEN text IS NULL OR trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' ')) END"
 
 SQL: dict[str, str] = {
+    "op1_exact_top_k": f"""
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id)::INT AS rank FROM s)
+SELECT query_id, rank, neighbour_id, score FROM r WHERE rank <= {topk.K}""",
+    "op5_sharding": f"""
+WITH b AS (SELECT *, sum(coalesce(strlen(text), 0)) OVER (ORDER BY doc_id NULLS FIRST) AS upto, sum(coalesce(strlen(text), 0)) OVER () AS total FROM documents)
+SELECT doc_id, text, lang, source, n_chars, CASE WHEN doc_id IS NULL THEN 0 ELSE (SELECT count(*) FROM range(1, {SHARDS}) j(j) WHERE upto > total * j // {SHARDS}) END::INT AS shard FROM b""",
+    "op9_media_columns": """
+WITH l AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, lang, unnest(a) AS line, unnest(range(len(a))) AS no FROM l),
+o AS (SELECT *, strlen(line) AS size, 24 + 8 + sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY no) - strlen(line) AS pos FROM u)
+SELECT doc_id, 1::BIGINT AS track_id, 'vide' AS kind, CASE lang WHEN 'en' THEN 'avc1' WHEN 'fr' THEN 'hvc1' WHEN 'de' THEN 'av01' WHEN 'es' THEN 'vp09' ELSE 'mp4v' END AS codec,
+       1000::BIGINT AS timescale, sum(500 + 10 * length(line))::BIGINT AS duration, count(*) AS samples,
+       list(pos::BIGINT ORDER BY no) FILTER (WHERE no % 12 = 0) AS key_start, list((pos + size)::BIGINT ORDER BY no) FILTER (WHERE no % 12 = 0) AS key_end, NULL::VARCHAR AS error
+FROM o GROUP BY doc_id, lang
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'empty' FROM documents WHERE text IS NULL""",
     "op4_mixing": f"""
 WITH t AS (SELECT source, sum({_WORDS})::BIGINT AS tokens FROM documents GROUP BY source),
 w AS (SELECT *, pow(tokens::DOUBLE, {mixing.ALPHA}) AS w FROM t),
