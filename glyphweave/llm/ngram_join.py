@@ -1,8 +1,9 @@
 """Parity-sketch self-join on the Jaccard similarity of word n-gram sets.
 
 Each document's set falls into a size band (bands grow by 1/threshold, so partners lie in the same or the next one, and
-every document is sketched for both). A sketch XORs one bit per n-gram into 64-bit words: the Hamming distance of two
-sketches never exceeds the size of the symmetric difference. Small sets are cut strictly by pigeonhole: one word more
+every document is sketched for both). A sketch XORs one bit per n-gram into words 2^64 bits wide, of which only the XOR
+of the hashes of the set bits is kept as a join key, and, folded to 64 bits a word, the bits themselves: the Hamming
+distance of two sketches never exceeds the size of the symmetric difference, folded or not. Small sets are cut strictly by pigeonhole: one word more
 than the largest symmetric difference that the threshold allows, so that a pair must agree in a word. For larger sets
 that many words would hold about two n-grams each, which common phrases fill alike; there WORDS words get LOAD n-grams
 each, from independent hashings or a hash sample, and a pair at the threshold agrees in one with probability
@@ -64,14 +65,17 @@ def sketch(grams: np.ndarray, band: int, t: float) -> tuple[np.ndarray, bytes]:
         h = mix64(grams ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         if share < 1:
             h = mix64(h[(h >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))])
-        spot = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(words) >> np.uint64(32)) * np.uint64(64) + ((h >> np.uint64(32)) & np.uint64(63))
-        bits = np.bincount(spot.astype(np.int64), minlength=words * 64).astype(np.uint8) & 1
-        w = np.packbits(bits).view(np.uint64)
+        word = (h & np.uint64(0xFFFFFFFF)) * np.uint64(words) >> np.uint64(32)
         if not r:
-            first = w.tobytes()
-        some = np.flatnonzero(w)
-        keys.append(mix64(w[some] ^ mix64(some.astype(np.uint64) + np.uint64((band * 64 + r) << 20))))
-    return np.concatenate(keys).view(np.int64), first
+            spot = word * np.uint64(64) + ((h >> np.uint64(32)) & np.uint64(63))
+            first = np.packbits(np.bincount(spot.astype(np.int64), minlength=words * 64).astype(np.uint8) & 1).tobytes()
+        if not len(h):
+            continue
+        o = np.argsort(word, kind="stable")
+        word, h = word[o], mix64(h[o])
+        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        keys.append(mix64(np.bitwise_xor.reduceat(h, start) ^ mix64(word[start] + np.uint64((band * 64 + r) << 20))))
+    return (np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64), first
 
 
 def marks(docs: DataFrame, n: int, t: float) -> DataFrame:
