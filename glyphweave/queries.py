@@ -1,6 +1,522 @@
-"""Registered queries of the text engine and their SQL."""
+"""Registered queries of the text engine, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+from dataclasses import replace
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import TextConfig
+from .functions.emoji import emoticons
+from .functions.normalize import PUNCTUATION, normalized
+from .functions.tokens import tokenized, tokenized_parts
+from .operators import metrics, splits
+from .operators import vocabulary as V
+from .operators import weighting as W
+from .plans import search
+from .plans.model import TextClassifier, TextModel
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+WORDS = TextConfig()
+MIXED = TextConfig(token_list=(-2, -1, 3, 4))
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- SQL of normalisation and tokens, from a configuration
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_BLANKS = "chr(10) || chr(13) || ' ' || chr(9) || chr(160)"
+
+
+def _before_sql(cfg: TextConfig, text: str) -> str:
+    t = f"coalesce({text}, '')"
+
+    def swap(t: str, pattern: str, option: str, marker: str) -> str:
+        return t if option not in ("group", "delete") else f"regexp_replace({t}, {_lit(pattern)}, '{marker if option == 'group' else ''}', 'g')"
+
+    if cfg.select_ent:
+        t = f"array_to_string(regexp_extract_all({t}, '[@#A-Z]\\S+'), ' ')"
+    t = swap(swap(t, r"#\S+", cfg.hashtag_option, "_htag"), "[A-Z][a-z]+", cfg.ent_option, "_ent")
+    if cfg.lc:
+        t = f"lower({t})"
+    t = swap(t, r"[0-9]+\.?[0-9]*|\.[0-9]+", cfg.num_option, "_num")
+    t = swap(swap(t, r"https?://\S+", cfg.url_option, "_url"), r"@\S+", cfg.usr_option, "_usr")
+    return f"strip_accents({t})" if cfg.del_diac else t
+
+
+def _after_sql(cfg: TextConfig, t: str) -> str:
+    if cfg.del_punc:
+        t = f"translate({t}, {_lit(PUNCTUATION)}, '')"
+    return f"'~' || translate({t}, {_BLANKS}, '~~~~~') || '~'"
+
+
+def norm_cte(cfg: TextConfig, table: str = "documents", keys: str = "doc_id", text: str = "text") -> str:
+    """CTEs ending in n_(keys, norm). Runs of a character are found with a window over the characters."""
+    if cfg.disable_text_transformations:
+        return f"n_ AS (SELECT {keys}, coalesce({text}, '') AS norm FROM {table})"
+    if not cfg.del_dup:
+        return f"n_ AS (SELECT {keys}, {_after_sql(cfg, _before_sql(cfg, text))} AS norm FROM {table})"
+    return f"""b_ AS (SELECT {keys}, string_split({_before_sql(cfg, text)}, '') AS c FROM {table}),
+l_ AS (SELECT {keys}, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM b_),
+r_ AS (SELECT *, lag(x) OVER (PARTITION BY {keys} ORDER BY i) AS before FROM l_),
+n_ AS (SELECT {keys}, {_after_sql(cfg, f"coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE before IS NULL OR x <> before OR contains({_BLANKS}, x)), '')")} AS norm FROM r_ GROUP BY {keys})"""
+
+
+def words_sql(norm: str = "norm") -> str:
+    return f"list_filter(regexp_split_to_array(translate(substr({norm}, 2, length({norm}) - 2), {_lit(PUNCTUATION)}, '{' ' * len(PUNCTUATION)}'), '\\s+'), lambda x: x <> '')"
+
+
+def tokens_cte(cfg: TextConfig, table: str = "documents", keys: str = "doc_id", text: str = "text") -> str:
+    """CTEs ending in tok(keys, tokens); windows over words and characters make the grams."""
+    over = f"OVER (PARTITION BY {keys} ORDER BY i)"
+    lead = lambda j: "x" if j == 0 else f"lead(x, {j}) {over}"
+    rows = [(f"{" || '~' || ".join(lead(j) for j in range(n))}", "u_", "0") for n in cfg.ngrams]
+    rows += [(f"{" || '~' || ".join(lead(j * (s + 1)) for j in range(q))}", "u_", "0") for q, s in cfg.skipgrams]
+    if cfg.q_grams_words:
+        rows += [(f"'q:' || substr('~' || x || '~', j, {q})", f"(SELECT *, unnest(range(1, length(x) + 4 - {q})) AS j FROM u_)", "j") for q in cfg.qgrams]
+    else:
+        rows += [(f"'q:' || {' || '.join(lead(j) for j in range(q))}", "c_", "0") for q in cfg.qgrams]
+    union = " UNION ALL ".join(f"SELECT {keys}, {p} AS part, i, {j} AS j, {t} AS t FROM {src}" for p, (t, src, j) in enumerate(rows))
+    keep = "t IS NOT NULL"
+    if cfg.select_suff:
+        keep += f" AND contains({_lit(PUNCTUATION)} || chr(9) || chr(10) || chr(13) || ' ', right(t, 1))"
+    if cfg.select_conn:
+        keep += " AND contains(t, '~') AND NOT starts_with(t, '~') AND NOT ends_with(t, '~')"
+    return f"""{norm_cte(cfg, table, keys, text)},
+w_ AS (SELECT {keys}, {words_sql()} AS w, string_split(norm, '') AS c FROM n_),
+u_ AS (SELECT {keys}, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w_),
+c_ AS (SELECT {keys}, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM w_),
+g_ AS ({union}),
+t_ AS (SELECT {keys}, list(t ORDER BY part, i, j) AS t FROM g_ WHERE {keep} GROUP BY {keys}),
+tok AS (SELECT {keys}, coalesce(t, ['~']) AS tokens FROM n_ LEFT JOIN t_ USING ({keys}))"""
+
+
+# --- 2.2 normalisation
+
+NORMS = {
+    "norm_default": WORDS,
+    "norm_keep_case": replace(WORDS, lc=False),
+    "norm_keep_punc": replace(WORDS, del_punc=False),
+    "norm_dup": replace(WORDS, del_dup=True),
+    "norm_dup_keep_punc": replace(WORDS, del_dup=True, del_punc=False),
+    "num_group": replace(WORDS, num_option="group"),
+    "num_delete": replace(WORDS, num_option="delete"),
+    "num_none": replace(WORDS, num_option="none"),
+    "usr_group": replace(WORDS, usr_option="group", num_option="none"),
+    "usr_delete": replace(WORDS, usr_option="delete"),
+    "usr_none": replace(WORDS, usr_option="none"),
+    "url_delete": replace(WORDS, url_option="delete"),
+    "url_none": replace(WORDS, url_option="none"),
+    "hashtag_group": replace(WORDS, hashtag_option="group"),
+    "hashtag_delete": replace(WORDS, hashtag_option="delete"),
+    "ent_group": replace(WORDS, ent_option="group"),
+    "ent_delete": replace(WORDS, ent_option="delete"),
+    "select_ent": replace(WORDS, select_ent=True),
+}
+
+
+def _norm(cfg: TextConfig, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalized(_read(spark, sf_dir, "documents").select("doc_id", "text"), cfg).select("doc_id", "norm")
+
+
+for _name, _cfg in NORMS.items():
+    query(_name, f"WITH {norm_cte(_cfg)} SELECT doc_id, norm FROM n_")(partial(_norm, _cfg))
+
+_PAGE = "html || ' ' || url || ' @user' || page_id || ' #Tag' || page_id || ' 3.5 .5 7. Madrid'"
+
+
+@query("norm_pages", f"WITH {norm_cte(replace(WORDS, hashtag_option='group', ent_option='group'), 'pages', 'page_id', _PAGE)} SELECT page_id, norm FROM n_")
+def norm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs, users, hashtags, entities and numbers in one text."""
+    text = F.concat("html", F.lit(" "), "url", F.lit(" @user"), "page_id", F.lit(" #Tag"), "page_id", F.lit(" 3.5 .5 7. Madrid"))
+    d = _read(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+    return normalized(d, replace(WORDS, hashtag_option="group", ent_option="group")).select("page_id", "norm")
+
+
+# --- 2.4 tokens
+
+TOKENS = {
+    "words": WORDS,
+    "ngrams_2": replace(WORDS, token_list=(-2,)),
+    "ngrams_3": replace(WORDS, token_list=(-3,)),
+    "skipgrams_2_1": replace(WORDS, token_list=((2, 1),)),
+    "skipgrams_2_2": replace(WORDS, token_list=((2, 2),)),
+    "skipgrams_3_1": replace(WORDS, token_list=((3, 1),)),
+    "qgrams_3": replace(WORDS, token_list=(3,)),
+    "qgrams_5": replace(WORDS, token_list=(5,)),
+    "qgrams_words_3": replace(WORDS, token_list=(3,), q_grams_words=True),
+    "mixed_token_list": replace(WORDS, token_list=(-2, (2, 1), -1, 3, 4)),
+    "select_suff": replace(WORDS, token_list=(-1, 3), select_suff=True),
+    "select_conn": replace(WORDS, token_list=(-2, 4), select_conn=True),
+    "empty_doc_token": replace(WORDS, token_list=(-40,)),
+    "pretokenized": replace(WORDS, token_list=(-1,), disable_text_transformations=True),
+}
+
+
+def _joined(t: DataFrame, key: str = "doc_id") -> DataFrame:
+    return t.select(key, F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def _tok(cfg: TextConfig, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(tokenized(_read(spark, sf_dir, "documents"), cfg))
+
+
+for _name, _cfg in TOKENS.items():
+    query(_name, f"WITH {tokens_cte(_cfg)} SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM tok")(partial(_tok, _cfg))
+
+
+@query("multi_text_tokens", f"WITH {tokens_cte(replace(WORDS, token_list=(-1, 3)), 'conversations', 'conv_id, turn')}, j AS (SELECT conv_id, flatten(list(tokens ORDER BY turn)) AS tokens FROM tok GROUP BY conv_id) SELECT conv_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM j")
+def multi_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts in parts, one a turn."""
+    d = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    d = d.select("conv_id", F.transform("s", lambda x: x["text"]).alias("parts"))
+    return _joined(tokenized_parts(d, replace(WORDS, token_list=(-1, 3)), "parts", "conv_id"), "conv_id")
+
+
+# --- 2.5 vocabulary
+
+_DF = f"WITH {tokens_cte(WORDS)}, x AS (SELECT doc_id, unnest(list_distinct(tokens)) AS token FROM tok), df AS (SELECT token, count(*) AS df FROM x GROUP BY token), k AS (SELECT * FROM df WHERE df < (SELECT count(*) FROM documents))"
+_MDF = _DF.replace(tokens_cte(WORDS), tokens_cte(MIXED))
+
+
+def _docs_tokens(spark: SparkSession, sf_dir: str, cfg: TextConfig = WORDS, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    return tokenized(_read(spark, sf_dir, table), cfg, keep=(key,))
+
+
+def _n(spark: SparkSession, sf_dir: str) -> int:
+    return _read(spark, sf_dir, "documents").count()
+
+
+@query("doc_freq", f"{_DF} SELECT token, df FROM df")
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.doc_freq(_docs_tokens(spark, sf_dir))
+
+
+@query("drop_constant", f"{_MDF} SELECT token, df FROM k")
+def drop_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.drop_constant(V.doc_freq(_docs_tokens(spark, sf_dir, MIXED)), _n(spark, sf_dir))
+
+
+def _filtered(low: float, high: float, spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _n(spark, sf_dir)
+    return V.filter_counts(V.drop_constant(V.doc_freq(_docs_tokens(spark, sf_dir)), n), n, low, high)
+
+
+_SHARE = "(SELECT count(*) FROM documents)"
+for _name, _args, _where in (
+    ("min_filter_int", (3, 1), "df > 3"),
+    ("min_filter_ratio", (0.01, 1), f"df > greatest(1, floor({_SHARE} * 0.01))"),
+    ("max_filter_int", (0, 40), "df > 1 AND df < 40"),
+    ("max_filter_ratio", (-1, 0.5), f"df > 1 AND df < floor({_SHARE} * 0.5)"),
+    ("no_filter", (-1, 1), "true"),
+):
+    query(_name, f"{_DF} SELECT token, df FROM k WHERE {_where}")(partial(_filtered, *_args))
+
+
+@query("max_dimension", f"{_DF} SELECT token, df FROM k ORDER BY df DESC, token LIMIT 200")
+def max_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.most_frequent(V.drop_constant(V.doc_freq(_docs_tokens(spark, sf_dir)), _n(spark, sf_dir)), 200)
+
+
+@query("token_ids", f"{_DF} SELECT token, df, (row_number() OVER (ORDER BY token) - 1)::INT AS token_id FROM k")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.vocabulary(_docs_tokens(spark, sf_dir), WORDS, _n(spark, sf_dir))
+
+
+_BENCH = re.sub(r"\b([nwucgt])_\b", r"b\1_", tokens_cte(WORDS, "benchmark", "item_id")).replace("tok AS", "btok AS")
+_COUNTERS = f"{_DF}, {_BENCH}, y AS (SELECT unnest(list_distinct(tokens)) AS token FROM btok), bf AS (SELECT token, count(*) AS df FROM y GROUP BY token)"
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> tuple[V.Counter, V.Counter]:
+    return V.Counter.of(_docs_tokens(spark, sf_dir)), V.Counter.of(_docs_tokens(spark, sf_dir, WORDS, "benchmark", "item_id"))
+
+
+@query("counter_add", f"{_COUNTERS} SELECT token, coalesce(a.df, 0) + coalesce(b.df, 0) AS n FROM df a FULL JOIN bf b USING (token)")
+def counter_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _counters(spark, sf_dir)
+    return (a + b).counts
+
+
+@query("counter_sub", f"{_COUNTERS} SELECT token, coalesce(a.df, 0) - coalesce(b.df, 0) AS n FROM df a FULL JOIN bf b USING (token) WHERE coalesce(a.df, 0) - coalesce(b.df, 0) > 0")
+def counter_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _counters(spark, sf_dir)
+    return (a - b).counts
+
+
+@query("counter_to_weights", f"{_DF} SELECT token, df, (row_number() OVER (ORDER BY token) - 1)::INT AS token_id, round(log2({_SHARE}) - log2(df), 6) AS weight FROM df")
+def counter_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counters(spark, sf_dir)[0].weights().withColumn("weight", F.round("weight", 6))
+
+
+# --- 2.5 weights
+
+_VOC = f"{_DF}, v AS (SELECT token, df, log2({_SHARE} / df) AS weight FROM k)"
+_TF = f"{_VOC}, f AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS token FROM tok) JOIN v USING (token) GROUP BY doc_id, token), tf AS (SELECT doc_id, token, n / sum(n) OVER (PARTITION BY doc_id) AS tf FROM f)"
+
+
+def _model(spark: SparkSession, sf_dir: str, **changes: object) -> tuple[TextModel, DataFrame]:
+    docs = _read(spark, sf_dir, "documents").withColumnRenamed("lang", "klass")
+    return TextModel.fit(docs, replace(WORDS, **changes)), docs
+
+
+@query("idf", f"{_VOC} SELECT token, round(weight, 6) AS weight FROM v")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir)[0].vocab.select("token", F.round("weight", 6).alias("weight"))
+
+
+def _long(spark: SparkSession, sf_dir: str, **changes: object) -> DataFrame:
+    m, docs = _model(spark, sf_dir, **changes)
+    return m.long(docs).select("doc_id", "token", F.round("value", 6).alias("value"))
+
+
+@query("tf", f"{_TF} SELECT doc_id, token, round(tf, 6) AS value FROM tf")
+def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir, weighting="tf")
+
+
+@query("tfidf_raw", f"{_TF} SELECT doc_id, token, round(tf * weight, 6) AS value FROM tf JOIN v USING (token)")
+def tfidf_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir, unit_vector=False)
+
+
+@query("tfidf_unit", f"{_TF} SELECT doc_id, token, round(tf * weight / sqrt(sum(tf * weight * tf * weight) OVER (PARTITION BY doc_id)), 6) AS value FROM tf JOIN v USING (token)")
+def tfidf_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: normalise, tokenise, vocabulary, tf-idf unit vectors in long form."""
+    return _long(spark, sf_dir)
+
+
+_ENT = f"""{_DF}, g AS (SELECT token, lang, count(*) AS n FROM x JOIN documents USING (doc_id) GROUP BY token, lang),
+q AS (SELECT k.token, l.lang, coalesce(n, 0) + 3.0 AS c FROM k CROSS JOIN (SELECT DISTINCT lang FROM documents) l LEFT JOIN g ON g.token = k.token AND g.lang = l.lang),
+p AS (SELECT token, c / sum(c) OVER (PARTITION BY token) AS p, count(*) OVER (PARTITION BY token) AS kk FROM q),
+e AS (SELECT token, 1 + sum(p * log2(p)) / CASE WHEN any_value(kk) > 2 THEN log2(any_value(kk)) ELSE 1 END AS weight FROM p GROUP BY token)"""
+
+
+@query("entropy_weight", f"{_ENT} SELECT token, round(weight, 6) AS weight FROM e")
+def entropy_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir, weighting="entropy")[0].vocab.select("token", F.round("weight", 6).alias("weight"))
+
+
+@query("entropy_vectors", f"{_ENT} SELECT doc_id, token, round(weight, 6) AS value FROM x JOIN e USING (token)")
+def entropy_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir, weighting="entropy")
+
+
+@query("vector_size", f"{_TF} SELECT d.doc_id, count(f.token)::INT AS vecsize FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id")
+def vector_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, docs = _model(spark, sf_dir)
+    return m.transform(docs).select("doc_id", "vecsize")
+
+
+@query("oov_tokens", f"{_COUNTERS} SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(tokens) AS token FROM btok) z WHERE token NOT IN (SELECT token FROM k)")
+def oov_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, _ = _model(spark, sf_dir)
+    return W.unknown(_docs_tokens(spark, sf_dir, WORDS, "benchmark", "item_id"), m.vocab, "item_id")
+
+
+# --- 2.6 evaluation, on predictions that a rule makes
+
+_GOLD = "p AS (SELECT doc_id, lang AS klass, CASE WHEN doc_id % 5 = 0 THEN 'en' WHEN n_chars % 7 = 0 THEN 'fr' ELSE lang END AS predicted FROM documents)"
+_BIN = "p AS (SELECT doc_id, quality::VARCHAR AS klass, (CASE WHEN doc_id % 4 = 0 THEN 1 - quality ELSE quality END)::VARCHAR AS predicted FROM labels)"
+_CONF = "c AS (SELECT klass, predicted, count(*) AS n FROM p GROUP BY ALL)"
+_PER = """l AS (SELECT klass AS k FROM c UNION SELECT predicted FROM c),
+m AS (SELECT k AS klass, (SELECT coalesce(sum(n), 0) FROM c WHERE klass = k)::BIGINT AS support, (SELECT coalesce(sum(n), 0) FROM c WHERE predicted = k)::BIGINT AS guessed, (SELECT coalesce(sum(n), 0) FROM c WHERE klass = k AND predicted = k)::BIGINT AS tp FROM l),
+f AS (SELECT klass, support, CASE WHEN guessed > 0 THEN tp / guessed ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, CASE WHEN guessed + support > 0 THEN 2 * tp / (guessed + support) ELSE 0 END AS f1 FROM m)"""
+_SCORES = """a AS (SELECT sum(n) FILTER (WHERE klass = predicted) / sum(n) AS accuracy FROM c),
+s AS (SELECT avg(f1) AS macrof1, sum(recall) / count(*) AS macrorecall, sum(f1 * support) / sum(support) AS wf1, count(*) AS k, product(f1 + 1e-4) AS geometricf1, count(*) / sum(1 / (f1 + 1e-4)) AS harmonicf1, max_by(f1, klass) AS last FROM f)
+SELECT round(accuracy, 6) AS accuracy, round(macrof1, 6) AS macrof1, round(macrorecall, 6) AS macrorecall, round(geometricf1, 6) AS geometricf1, round(harmonicf1, 6) AS harmonicf1, round(macrof1 * accuracy, 6) AS macrof1accuracy,
+round(CASE WHEN k = 2 THEN last ELSE accuracy END, 6) AS microf1, round(CASE WHEN k = 2 THEN last ELSE wf1 END, 6) AS weightedf1 FROM s, a"""
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guess = F.when(F.col("doc_id") % 5 == 0, "en").when(F.col("n_chars") % 7 == 0, "fr").otherwise(F.col("lang"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("klass"), guess.alias("predicted"))
+
+
+def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("quality")
+    return _read(spark, sf_dir, "labels").select("doc_id", q.cast("string").alias("klass"), F.when(F.col("doc_id") % 4 == 0, 1 - q).otherwise(q).cast("string").alias("predicted"))
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
+
+
+@query("confusion", f"WITH {_GOLD}, {_CONF} SELECT klass, predicted, n FROM c")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(_predicted(spark, sf_dir))
+
+
+@query("per_class_prf", f"WITH {_GOLD}, {_CONF}, {_PER} SELECT klass, support, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1 FROM f")
+def per_class_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.per_class(metrics.confusion(_predicted(spark, sf_dir))))
+
+
+@query("macro_scores", f"WITH {_GOLD}, {_CONF}, {_PER}, {_SCORES}")
+def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.class_scores(metrics.confusion(_predicted(spark, sf_dir))))
+
+
+@query("binary_scores", f"WITH {_BIN}, {_CONF}, {_PER}, {_SCORES}")
+def binary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.class_scores(metrics.confusion(_binary(spark, sf_dir))))
+
+
+@query("avgf1_named", f"WITH {_GOLD}, {_CONF}, {_PER} SELECT round(sum(f1) / 2, 6) AS avgf1 FROM f WHERE klass IN ('de', 'es')")
+def avgf1_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.average_f1(metrics.confusion(_predicted(spark, sf_dir)), ["de", "es"]))
+
+
+@query("kappa_quadratic", f"""WITH {_GOLD}, {_CONF}, l AS (SELECT k, row_number() OVER (ORDER BY k) AS r FROM (SELECT klass AS k FROM c UNION SELECT predicted FROM c)),
+a AS (SELECT r AS i, sum(n) AS a FROM c JOIN l ON klass = k GROUP BY r), b AS (SELECT r AS j, sum(n) AS b FROM c JOIN l ON predicted = k GROUP BY r),
+o AS (SELECT sum((x.r - y.r) * (x.r - y.r) * n) AS o, sum(n) AS t FROM c JOIN l x ON klass = x.k JOIN l y ON predicted = y.k), e AS (SELECT sum((i - j) * (i - j) * a * b) AS e FROM a, b)
+SELECT round(1 - o * t / e, 6)::DOUBLE AS kappa FROM o, e""")
+def kappa_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.quadratic_kappa(metrics.confusion(_predicted(spark, sf_dir))))
+
+
+_VAL = "p AS (SELECT value AS y, value * 0.8 + event_id % 10 AS p FROM events)"
+_R = "r AS (SELECT {y} AS y, p, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM {t})"
+_VS = "SELECT round(1 - sum((y - p) * (y - p)) / sum((y - (SELECT avg(y) FROM r)) * (y - (SELECT avg(y) FROM r))), 6) AS r2, round(corr(y, p), 6) AS pearsonr, round(corr(ry, rp), 6) AS spearmanr FROM r"
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("value", (F.col("value") * 0.8 + F.col("event_id") % 10).alias("predicted"))
+
+
+@query("regression_scores", f"WITH {_VAL}, {_R.format(y='y', t='p')} {_VS}")
+def regression_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.value_scores(_values(spark, sf_dir)))
+
+
+@query("regression_rank_scores", f"WITH {_VAL}, d AS (SELECT dense_rank() OVER (ORDER BY y) - 1.0 AS y, p FROM p), {_R.format(y='y', t='d')} {_VS}")
+def regression_rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.value_scores(_values(spark, sf_dir), rank_target=True))
+
+
+@query("mismatches", f"WITH {_GOLD} SELECT doc_id, klass, predicted FROM p WHERE klass IS DISTINCT FROM predicted")
+def mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mismatches(_predicted(spark, sf_dir))
+
+
+@query("majority_vote", """WITH v AS (SELECT doc_id, 0 AS voter, lang AS predicted FROM documents UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE 'fr' END FROM documents UNION ALL SELECT doc_id, 2, CASE WHEN n_chars % 2 = 0 THEN 'de' ELSE 'fr' END FROM documents),
+n AS (SELECT doc_id, predicted, count(*) AS n, min(voter) AS first FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM n) SELECT doc_id, predicted FROM r WHERE r = 1""")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    voters = [F.col("lang"), F.when(F.col("doc_id") % 3 == 0, "en").otherwise("fr"), F.when(F.col("n_chars") % 2 == 0, "de").otherwise("fr")]
+    votes = F.array(*[F.struct(F.lit(i).alias("voter"), v.alias("predicted")) for i, v in enumerate(voters)])
+    return metrics.majority_vote(d.select("doc_id", F.inline(votes)))
+
+
+@query("label_encode", "SELECT doc_id, (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents) l WHERE l.lang < d.lang)::INT AS label FROM documents d")
+def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.encoded(_read(spark, sf_dir, "documents"), "lang").select("doc_id", "label")
+
+
+_OSQL = "(doc_id * 7919) % 10007, doc_id"
+
+
+def _order() -> list:
+    return [(F.col("doc_id") * 7919) % 10007, F.col("doc_id")]
+
+
+@query("holdout", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_OSQL}) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN r <= ceil(n * 0.7) THEN 'train' WHEN r <= ceil(n * 0.7) + ceil(n * 0.2) THEN 'test' END AS part FROM r")
+def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.holdout(_read(spark, sf_dir, "documents"), 0.7, 0.2, order=_order()).select("doc_id", "part")
+
+
+@query("stratified_folds", f"SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY {_OSQL}) - 1) % 5)::INT AS fold FROM documents")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.folds(_read(spark, sf_dir, "documents"), 5, "lang", order=_order()).select("doc_id", "lang", "fold")
+
+
+@query("plain_folds", f"SELECT doc_id, ((row_number() OVER (ORDER BY {_OSQL}) - 1) % 3)::INT AS fold FROM documents")
+def plain_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.folds(_read(spark, sf_dir, "documents"), 3, order=_order()).select("doc_id", "fold")
+
+
+@query("balance_counts", "WITH c AS (SELECT lang AS klass, count(*) AS texts FROM documents GROUP BY lang) SELECT klass, (SELECT min(texts) FROM c) AS slots, texts FROM c")
+def balance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = splits.balanced(_read(spark, sf_dir, "documents"), "lang")
+    return b.groupBy("klass").agg(F.count("*").alias("slots"), F.sum(F.size("texts")).alias("texts"))
+
+
+@query("ordinal_clamp", "SELECT event_id, greatest(-2, least(40, round_even(value, 0)::INT)) AS predicted FROM events")
+def ordinal_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", metrics.ordinal(F.col("value"), -2, 40).alias("predicted"))
+
+
+# --- 2.6 learning and search, 2.3 emoticons: tested for themselves, no SQL
+
+
+@query("svm_predict")
+def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier of the labels' quality, trained on the labelled documents and applied to all."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.join(_read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("klass")), "doc_id")
+    return TextClassifier.fit(train, replace(WORDS, token_list=(-1, 3), token_min_filter=2)).predict(docs)
+
+
+@query("svr_predict")
+def svr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regressor of text length."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.log10("n_chars").alias("value"))
+    return TextClassifier.fit(docs, replace(WORDS, weighting="tf", token_min_filter=5), target_col="value", regression=True).predict(docs)
+
+
+@query("kfold_decision")
+def kfold_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold decisions on the documents' languages."""
+    docs = splits.folds(_read(spark, sf_dir, "documents").withColumnRenamed("lang", "klass"), 3, "klass").persist()
+    model = TextModel.fit(docs, replace(WORDS, token_min_filter=5))
+    out = None
+    for i in range(3):
+        p = TextClassifier.fit(docs.filter(F.col("fold") != i), text_model=model).predict(docs.filter(F.col("fold") == i))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("param_search")
+def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations in order of score, from one round of a small space."""
+    docs = _read(spark, sf_dir, "documents").withColumnRenamed("lang", "klass")
+    space = {k: search.Fixed(v.draw(search.random.Random(0))) for k, v in search.default_space().items()}
+    space |= {"token_list": search.Choice([-1], [3]), "weighting": search.Fixed("tfidf"), "token_min_filter": search.Fixed(5), "emo_option": search.Fixed("none")}
+    s = search.Search(search.make_scorer(docs, "macrof1", holdout=(0.7, None)), space, batch=2)
+    found = s.run(climb=False)
+    rows = [(i, search.code(c), float(c["_score"])) for i, c in enumerate(found)]
+    return spark.createDataFrame(rows, "place int, code string, score double")
+
+
+@query("emoticon_replace")
+def emoticon_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("lol :) "), "text", F.lit(" :( "))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", emoticons(text, "group").alias("text"))
+
+
+@query("emoji_replace")
+def emoji_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("\U0001f923\U0001f923 \U0001f44f\U0001f3fb "), "text").alias("text"))
+    return normalized(d, replace(WORDS, norm_emojis=True)).select("conv_id", "turn", "norm")
