@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import written
 
 V, CONTEXT, DIM = 128, 3, 24
-NOISE, BATCH, ROUNDS, PASSES, ROWS = 8, 2048, 4, 4, 200_000
+NOISE, BATCH, ROUNDS, PASSES, ROWS = 8, 2048, 4, 12, 200_000
 UNKNOWN, START = 0, 1
 
 
@@ -151,7 +151,7 @@ def train_part(model: LogBilinear, code: np.ndarray, count: np.ndarray, unigram:
     g2 = {k: np.full_like(v, 1e-2) for k, v in p.items()}
     cum = np.cumsum(count.astype(np.float64))
     log_noise = (np.log(NOISE) + np.log(unigram)).astype(np.float32)
-    steps = max(20, PASSES * len(code) // BATCH)
+    steps = max(150, PASSES * len(code) // BATCH)
     for t in range(steps):
         pick = code[np.searchsorted(cum, rng.random(BATCH) * cum[-1], side="right").clip(0, len(code) - 1)]
         ctx, w = pick // V, pick % V
