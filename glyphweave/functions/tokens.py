@@ -1,11 +1,13 @@
 """Word n-grams, skip-grams and character n-grams as built-in array expressions.
 
-Arrays that a lambda reads are columns of an earlier projection that is referenced more than once, so that Catalyst
-doesn't fold the split into the lambda and repeat it for each position.
+Arrays that a lambda reads are bound by let(): were they columns of an earlier projection, a filter that Catalyst infers
+and pushes down would carry the split into the lambda and repeat it for each position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a lambda's variable is never expanded."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def words(norm: Column) -> Column:
     """Words of a normalised text, whose first and last characters are dropped whatever they are."""
     inner = F.substring(norm, F.lit(2), F.greatest(F.length(norm) - 2, F.lit(0)))
@@ -72,20 +79,27 @@ def selected(tokens: Column, cfg: TextConfig) -> Column:
     return tokens
 
 
-def _token_column(cfg: TextConfig, w: Column, c: Column) -> Column:
-    parts = [ngrams(w, n) for n in cfg.ngrams] + [skipgrams(w, q, s) for q, s in cfg.skipgrams]
-    parts += [word_qgrams(w, q) if cfg.q_grams_words else qgrams(c, q) for q in cfg.qgrams]
-    found = selected(F.concat(*parts) if parts else _empty(), cfg)
-    return F.when(F.size(found) == 0, F.array(F.lit("~"))).otherwise(found)
+def _token_column(cfg: TextConfig, norm: Column) -> Column:
+    def grams(w: Column | None, c: Column | None) -> Column:
+        parts = [ngrams(w, n) for n in cfg.ngrams] + [skipgrams(w, q, s) for q, s in cfg.skipgrams]
+        parts += [word_qgrams(w, q) if cfg.q_grams_words else qgrams(c, q) for q in cfg.qgrams]
+        return selected(F.concat(*parts) if parts else _empty(), cfg)
+
+    need_words = bool(cfg.ngrams or cfg.skipgrams or (cfg.qgrams and cfg.q_grams_words))
+    need_chars = bool(cfg.qgrams) and not cfg.q_grams_words
+    if need_words and need_chars:
+        found = let(words(norm), lambda w: let(characters(norm), lambda c: grams(w, c)))
+    elif need_words:
+        found = let(words(norm), lambda w: grams(w, None))
+    else:
+        found = let(characters(norm), lambda c: grams(None, c))
+    return let(found, lambda t: F.when(F.size(t) == 0, F.array(F.lit("~"))).otherwise(t))
 
 
 def tokenized(df: DataFrame, cfg: TextConfig, text_col: str = "text", out: str = "tokens", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., tokens): n-grams, then skip-grams, then q-grams; a text without any has the one token '~'."""
     d = normalized(df.select(*keep, F.col(text_col).alias("_t")), cfg, "_t", "_n")
-    need_words = bool(cfg.ngrams or cfg.skipgrams or (cfg.qgrams and cfg.q_grams_words))
-    need_chars = bool(cfg.qgrams) and not cfg.q_grams_words
-    d = d.select(*keep, *([words(F.col("_n")).alias("_w")] if need_words else []), *([characters(F.col("_n")).alias("_c")] if need_chars else []))
-    return d.select(*keep, _token_column(cfg, F.col("_w"), F.col("_c")).alias(out))
+    return d.select(*keep, _token_column(cfg, F.col("_n")).alias(out))
 
 
 def tokenized_parts(df: DataFrame, cfg: TextConfig, parts_col: str, id_col: str = "doc_id", out: str = "tokens") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import TextConfig
@@ -14,9 +14,14 @@ from ..config import TextConfig
 WINDOW_TERMS = 1_000_000
 
 
+def exploded(tokens: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """A row for each token. Outer, as that keeps Catalyst from inferring a filter that computes the array again."""
+    return tokens.select(*keep, F.explode_outer(array).alias("token")).filter("token is not null")
+
+
 def doc_freq(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(token, df): in how many documents a token occurs; partial counts before the shuffle."""
-    return tokens.select(F.explode(F.array_distinct(tokens_col)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return exploded(tokens, F.array_distinct(tokens_col)).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def drop_constant(df: DataFrame, n_docs: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vocabulary import exploded
+
 #: Terms up to which a vocabulary is broadcast to the documents; beyond, the join shuffles.
 BROADCAST_TERMS = 500_000
 
@@ -21,7 +23,7 @@ def unit_weights(vocab: DataFrame, n_docs: int) -> DataFrame:
 
 def entropy(vocab: DataFrame, tokens: DataFrame, label_col: str = "klass", tokens_col: str = "tokens") -> DataFrame:
     """1 minus the normalised entropy of a token's classes, each class with 3 pseudo-counts."""
-    seen = tokens.select(F.col(label_col).cast("string").alias("k"), F.explode(F.array_distinct(tokens_col)).alias("token"))
+    seen = exploded(tokens.withColumn("k", F.col(label_col).cast("string")), F.array_distinct(tokens_col), "k")
     counts = seen.groupBy("token", "k").agg(F.count("*").alias("n"))
     classes = tokens.select(F.col(label_col).cast("string").alias("k")).distinct()
     grid = vocab.select("token").crossJoin(F.broadcast(classes))  # classes are few: labels, not data
@@ -36,7 +38,7 @@ def _known(tokens: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str, te
     v = vocab.select("token", "token_id", "weight")
     if terms is None:
         terms = vocab.count()
-    return tokens.select(id_col, F.explode(tokens_col).alias("token")).join(F.broadcast(v) if terms <= BROADCAST_TERMS else v, "token")
+    return exploded(tokens, F.col(tokens_col), id_col).join(F.broadcast(v) if terms <= BROADCAST_TERMS else v, "token")
 
 
 def term_freq(tokens: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", terms: int | None = None) -> DataFrame:
@@ -78,4 +80,4 @@ def as_vectors(long: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> Data
 
 def unknown(tokens: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(id, token): distinct tokens that the vocabulary lacks."""
-    return tokens.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("token")).join(vocab.select("token"), "token", "left_anti").select(id_col, "token")
+    return exploded(tokens, F.array_distinct(tokens_col), id_col).join(vocab.select("token"), "token", "left_anti").select(id_col, "token")
