@@ -42,17 +42,20 @@ class TextConfig:
     def __post_init__(self) -> None:
         object.__setattr__(self, "token_list", tuple(tuple(x) if isinstance(x, list | tuple) else int(x) for x in self.token_list))
 
+    def _whole(self) -> list[int]:
+        return [spec for spec in self.token_list if not isinstance(spec, tuple)]
+
     @property
     def ngrams(self) -> list[int]:
-        return [-x for x in self.token_list if isinstance(x, int) and x < 0]
+        return [-spec for spec in self._whole() if spec < 0]
 
     @property
     def qgrams(self) -> list[int]:
-        return [x for x in self.token_list if isinstance(x, int) and x > 0]
+        return [spec for spec in self._whole() if spec > 0]
 
     @property
     def skipgrams(self) -> list[tuple[int, int]]:
-        return [x for x in self.token_list if isinstance(x, tuple)]
+        return [spec for spec in self.token_list if isinstance(spec, tuple)]
 
     def to_dict(self) -> dict:
         return asdict(self) | {"token_list": [list(x) if isinstance(x, tuple) else x for x in self.token_list]}
