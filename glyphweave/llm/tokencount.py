@@ -15,6 +15,7 @@ are ignored unless named in keep; clashing names are replaced. An empty table gi
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,6 +33,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BUDGETS = (512, 2048, 8192)
 CACHE = 1_000_000
 LONG = 400
+_BYTE = [bytes([i]) for i in range(256)]
+#: Counters of this process by vocabulary and pattern: a worker keeps what it has learnt from task to task.
+_HELD: dict[tuple[str, str], PrefixCounter] = {}
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,9 +48,8 @@ class PrefixCounter:
         self.core = tiktoken.Encoding("prefix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.prefixes: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
+        self.prefixes: dict[bytes, tuple[int, bytes, bytes]] = {b"": (0, b"", b"")}  # count, last token, differences
         self.pieces: dict[str, bytes | None] = {}
-        self.totals: dict[str, int] = {}
 
     def _fits(self, a: bytes, b: bytes) -> bool:
         """Whether a, b is how their concatenation encodes."""
@@ -56,27 +59,40 @@ class PrefixCounter:
             k = self.pairs[a, b] = self.core._core_bpe.encode_single_piece(a + b) == [self.ranks[a], self.ranks[b]]
         return k
 
+    def byte_differences(self, b: bytes) -> bytes:
+        """Changes of the token count, modulo 256, with each byte of a pretoken of up to 64: the longest prefix that
+        another pretoken has had is the start."""
+        memo, ranks = self.prefixes, self.ranks
+        e = len(b)
+        while (got := memo.get(b[:e])) is None:
+            e -= 1
+        if e == len(b):
+            return got[2]
+        if len(memo) > CACHE:
+            memo.clear()
+            memo[b""] = got = (0, b"", b"")
+            e = 0
+        diffs, count = got[2], got[0]
+        for e in range(e + 1, len(b) + 1):
+            for n in range(min(e, self.longest), 0, -1):
+                t = b[e - n : e]
+                if t in ranks:
+                    before = memo.get(b[: e - n])
+                    if before is None:  # forgotten
+                        self.byte_differences(b[: e - n])
+                        before = memo[b[: e - n]]
+                    if n == e or self._fits(before[1], t):
+                        diffs += _BYTE[before[0] + 1 - count & 255]
+                        count = before[0] + 1
+                        memo[b[:e]] = (count, t, diffs)
+                        break
+        return diffs
+
     def byte_counts(self, b: bytes) -> list[int]:
         """Token count of each prefix of one pretoken, in bytes from 1 on."""
-        ranks, out = self.ranks, []
-        if len(b) <= 64:  # prefixes that words share are solved once
-            memo = self.prefixes
-            if len(memo) > CACHE:
-                memo.clear()
-                memo[b""] = (0, b"")
-            for e in range(1, len(b) + 1):
-                p = b[:e]
-                if (got := memo.get(p)) is None:
-                    for n in range(min(e, self.longest), 0, -1):
-                        t = b[e - n : e]
-                        if t in ranks:
-                            count, last = memo[b[: e - n]]
-                            if n == e or self._fits(last, t):
-                                got = memo[p] = (count + 1, t)
-                                break
-                out.append(got[0])
-            return out
-        counts, lasts = [0], [b""]
+        if len(b) <= 64:
+            return np.cumsum(np.frombuffer(self.byte_differences(b), np.int8), dtype=np.int64).tolist()
+        ranks, counts, lasts = self.ranks, [0], [b""]
         for e in range(1, len(b) + 1):
             for n in range(min(e, self.longest), 0, -1):
                 t = b[e - n : e]
@@ -96,9 +112,10 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> bytes | None:
         """Differences of the counts of a pretoken that follows no white space; None if a byte can't hold them."""
+        if len(piece) <= 64 and piece.isascii() and piece[0] != "'":
+            return self.byte_differences(piece.encode())
         c = self._char_counts(piece)
         d = np.diff(np.array([0, *c]))
-        self.totals[piece] = c[-1]
         return d.astype(np.int8).tobytes() if np.abs(d).max() < 128 else None
 
     def differences(self, text: str) -> np.ndarray:
@@ -106,7 +123,7 @@ class PrefixCounter:
         pieces = self.pattern.findall(text)
         cache = self.pieces
         if len(cache) > CACHE:
-            cache.clear(), self.totals.clear()
+            cache.clear()
         for p in set(pieces):
             if p not in cache:
                 cache[p] = self._piece(p) if len(p) <= LONG else None
@@ -130,6 +147,14 @@ class PrefixCounter:
         return (b"\1" + d.astype(np.int8).tobytes() if narrow else b"\4" + d.astype("<i4").tobytes()), np.cumsum(d, dtype=np.int64)
 
 
+def counter_for(vocabulary: bytes, pattern: str) -> PrefixCounter:
+    key = hashlib.sha256(vocabulary).hexdigest(), pattern
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = PrefixCounter(read_ranks(vocabulary), pattern)
+    return _HELD[key]
+
+
 def unpack(blob: bytes) -> np.ndarray:
     """Token counts of the prefixes of 1, 2, ... characters."""
     return np.cumsum(np.frombuffer(blob, np.int8 if blob[0] == 1 else "<i4", offset=1), dtype=np.int64)
@@ -149,7 +174,7 @@ def count_prefixes(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
     kept = [c for c in keep if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(read_ranks(shared.value), pattern)
+        counter = counter_for(shared.value, pattern)
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 b = big.slice(i, 500)
