@@ -1,13 +1,14 @@
 """Parity-sketch self-join on the Jaccard similarity of word n-gram sets.
 
-Each document's set falls into a size band (bands grow by 1/threshold, so partners lie in the same or the next one, and
-every document is sketched for both). A sketch XORs one bit per n-gram into words 2^64 bits wide, of which only the XOR
+Each document's set falls into a size band (bands grow by 1/threshold, one of them ends at STRICT, so partners lie in
+the same or the next one, and every document is sketched for both). A sketch XORs one bit per n-gram into words 2^64 bits wide, of which only the XOR
 of the hashes of the set bits is kept as a join key, and, folded to 64 bits a word, the bits themselves: the Hamming
-distance of two sketches never exceeds the size of the symmetric difference, folded or not. Small sets are cut strictly by pigeonhole: one word more
-than the largest symmetric difference that the threshold allows, so that a pair must agree in a word. For larger sets
-that many words would hold about two n-grams each, which common phrases fill alike; there WORDS words get LOAD n-grams
-each, from independent hashings or a hash sample, and a pair at the threshold agrees in one with probability
-1 - (1 - exp(-LOAD * 2(1-t)/(1+t))) ** WORDS, over 0.98 for 0.6, more for nearer pairs.
+distance of two sketches never exceeds the size of the symmetric difference, folded or not. Sets of up to STRICT n-grams
+are cut strictly by pigeonhole: one word more than the largest symmetric difference that the threshold allows, so that a
+pair must agree in a word. For larger sets that many words would hold about two n-grams each, which common phrases fill
+alike; there WORDS words get at most LOAD n-grams each (the band's largest sets), from independent hashings or a hash
+sample, and a pair at the threshold agrees in one with probability 1 - (1 - exp(-LOAD * 2(1-t)/(1+t))) ** WORDS, over
+0.98 for 0.6, more for nearer pairs and smaller sets of a band.
 
 Words that agree link documents in a chain and to the least of them (links, not all pairs, so that a group of thousands
 costs in proportion); links whose sketches lie too far apart fall; connected components of the rest are verified
@@ -41,27 +42,34 @@ PAIRS = "docs_a array<long>, docs_b array<long>, jaccard double"
 
 
 def size_band(n: int, t: float) -> int:
-    return int(math.log(n) / -math.log(t) + 1e-9)
+    """The band of sets of n n-grams: bands reach up to STRICT * t ** k, the least has number 0."""
+    return _strict_band(t) + math.ceil(math.log(n / STRICT) / -math.log(t) - 1e-9)
+
+
+def _strict_band(t: float) -> int:
+    return int(math.log(STRICT) / -math.log(t) + 1e-9)
+
+
+def band_top(band: int, t: float) -> float:
+    return STRICT * t ** (_strict_band(t) - band)
 
 
 def plan(band: int, t: float) -> tuple[int, int, float, float]:
-    """(words a hashing, hashings, sampled share, largest symmetric difference) for pairs whose larger set is in band."""
-    top, low = t ** -(band + 1), t**-band
+    """(words a hashing, words in all, sampled share, largest symmetric difference) for pairs whose larger set is in band."""
+    top = band_top(band, t)
     far = (1 - t) / (1 + t) * 2 * top
-    if top <= STRICT:
-        return int(far) + 1, 3, 1.0, far
-    typical = (low + top) / 2
-    if typical >= LOAD * WORDS:
-        return WORDS, 1, LOAD * WORDS / typical, far
-    words = max(1, int(typical / LOAD))
-    return words, -(-WORDS // words), 1.0, far
+    if band <= _strict_band(t):
+        return int(far + 1e-9) + 1, 3 * (int(far + 1e-9) + 1), 1.0, far
+    if top >= LOAD * WORDS:
+        return WORDS, WORDS, LOAD * WORDS / top, far
+    return math.ceil(top / LOAD - 1e-9), WORDS, 1.0, far
 
 
 def sketch(grams: np.ndarray, band: int, t: float) -> tuple[np.ndarray, bytes]:
     """Keys of the words that hold something, over all hashings, and the words of the first as bytes."""
-    words, rounds, share, _ = plan(band, t)
+    words, in_all, share, _ = plan(band, t)
     keys, first = [], b""
-    for r in range(rounds):
+    for r in range(-(-in_all // words)):
         h = mix64(grams ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         if share < 1:
             h = mix64(h[(h >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))])
@@ -69,6 +77,8 @@ def sketch(grams: np.ndarray, band: int, t: float) -> tuple[np.ndarray, bytes]:
         if not r:
             spot = word * np.uint64(64) + ((h >> np.uint64(32)) & np.uint64(63))
             first = np.packbits(np.bincount(spot.astype(np.int64), minlength=words * 64).astype(np.uint8) & 1).tobytes()
+        if words * (r + 1) > in_all:  # the last hashing gives what is lacking
+            h, word = h[word < in_all - words * r], word[word < in_all - words * r]
         if not len(h):
             continue
         o = np.argsort(word, kind="stable")

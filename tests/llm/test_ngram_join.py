@@ -93,3 +93,18 @@ def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.doc_id: r.comp for r in J.components(e).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_recall_per_size_class_at_the_threshold():
+    rng, t = np.random.default_rng(2), J.THRESHOLD
+    for n in (8, 16, 22, 24, 25, 34, 40, 58, 66, 98, 110, 163, 184, 300, 455, 760, 1270):
+        found = 0
+        shared = -(-int(2 * n * t * 1000) // int((1 + t) * 1000))
+        for _ in range(400):
+            g = rng.integers(0, 2**63, 2 * n - shared, dtype=np.uint64)
+            keys = []
+            for x in (g[:n], g[n - shared :]):
+                low = J.size_band(n, t)
+                keys.append(set(J.sketch(np.sort(x), low, t)[0].tolist()) | set(J.sketch(np.sort(x), low + 1, t)[0].tolist()))
+            found += bool(keys[0] & keys[1])
+        assert found >= (0.995 if n <= J.STRICT else 0.96) * 400, (n, found)
