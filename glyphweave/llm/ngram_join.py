@@ -10,17 +10,18 @@ alike; there WORDS words get at most LOAD n-grams each (the band's largest sets)
 sample, and a pair at the threshold agrees in one with probability 1 - (1 - exp(-LOAD * 2(1-t)/(1+t))) ** WORDS, over
 0.98 for 0.6, more for nearer pairs and smaller sets of a band.
 
-Words that agree link documents in a chain and to the least of them (links, not all pairs, so that a group of thousands
-costs in proportion); links whose sketches lie too far apart fall; connected components of the rest are verified
-exactly, all pairs of a component in blocks. Rows with the same set are one content there.
+Rows with the same set are one content, the node of all that follows. All pairs of contents that agree in a word are held
+against each other by sketch: those of a run of up to RUN contents as links, those of a longer run in blocks, of whose
+hits only the links that keep them connected go on. So nothing is thinned before it is tested; a passage that m contents
+share costs m * m sketch distances. Connected components are verified exactly, all pairs of a component in blocks.
 
 Result: (docs_a, docs_b, jaccard), the sorted lists of doc_ids of two contents: each pair across them has that
 similarity; docs_a = docs_b (jaccard 1) for a content with copies. A pair is listed once, the content with the least
 doc_id first.
 
 Defined results: null and empty texts, or those of punctuation only, have no n-gram and join nothing; a text of fewer
-than n words is one gram. Repeated rows are copies of their own (the id is listed once for each). Rows without doc_id
-are left out. Other columns are ignored. An empty table gives an empty table.
+than n words is one gram. Repeated rows are copies of their own (the id is listed once for each); rows that
+repeat a doc_id with another text belong to the content of that text. Rows without doc_id are left out. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import mix64, normal_bytes, shingle_set, shuffle_parts, word_hashes, written
 
 N, THRESHOLD, WORDS, LOAD, STRICT, BLOCK = 3, 0.6, 48, 5.0, 24, 1500
-MARKS = "doc_id long, n int, set1 long, set2 long, low int, keys array<long>, sketch_low binary, sketch_high binary"
+RUN, RUN_BLOCK = 16, 4000
+MARKS = "doc_id long, n int, node long, low int, keys array<long>, sketch_low binary, sketch_high binary"
 PAIRS = "docs_a array<long>, docs_b array<long>, jaccard double"
 
 
@@ -88,8 +90,14 @@ def sketch(grams: np.ndarray, band: int, t: float) -> tuple[np.ndarray, bytes]:
     return (np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64), first
 
 
+def node_of(grams: np.ndarray) -> int:
+    """64 bits that stand for a set of n-grams, as these stand for their words."""
+    x = mix64(np.bitwise_xor.reduce(mix64(grams + np.uint64(1)), keepdims=True) + np.add.reduce(mix64(grams ^ np.uint64(0x5BF03635)), keepdims=True))
+    return int(x.view(np.int64)[0])
+
+
 def marks(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """A row for each document that has n-grams: two hashes of its set, its band, the keys and both sketches."""
+    """A row for each document that has n-grams: the node of its set, its band, the keys and both sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,17 +108,18 @@ def marks(docs: DataFrame, n: int, t: float) -> DataFrame:
                     continue
                 low = size_band(len(g), t)
                 (k0, s0), (k1, s1) = sketch(g, low, t), sketch(g, low + 1, t)
-                one = int(np.bitwise_xor.reduce(mix64(g + np.uint64(1)))), int(np.add.reduce(mix64(g ^ np.uint64(0x5BF03635))))
-                rows.append((i, len(g), *(x - (1 << 64) if x >> 63 else x for x in one), low, np.concatenate([k0, k1]), s0, s1))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                rows.append((i, len(g), node_of(g), low, np.concatenate([k0, k1]), s0, s1))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in MARKS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, MARKS)
 
 
-def links(m: DataFrame) -> DataFrame:
-    """(a, b): documents with a key in common, in each such run to the next and to the first one."""
+def runs(m: DataFrame) -> DataFrame:
+    """(run, a, b): all pairs (run null) of the contents that have a key in common if these are few; else the contents a
+    of the run (b null) under a name that another key's run of the same contents has too."""
+    few = RUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc = [], []
@@ -121,25 +130,43 @@ def links(m: DataFrame) -> DataFrame:
         key, doc = np.concatenate(key), np.concatenate(doc)
         o = np.lexsort((doc, key))
         key, doc = key[o], doc[o]
-        same = key[1:] == key[:-1]
-        start = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(key)), 0))
-        at = np.flatnonzero(same) + 1
-        pair = np.concatenate([np.column_stack([doc[at - 1], doc[at]]), np.column_stack([doc[start[at]], doc[at]])])
-        pair = pair[pair[:, 0] != pair[:, 1]]
-        if len(pair):
-            pair = np.unique(pair, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+        key, doc = key[new], doc[new]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        of = np.repeat(size, size)
+        at = np.arange(len(key)) - np.repeat(start, size)
+        pair = []
+        for back in range(1, few):
+            j = np.flatnonzero((at >= back) & (of <= few))
+            pair.append(np.column_stack([doc[j - back], doc[j]]))
+        pair = np.unique(np.concatenate(pair), axis=0) if few > 1 else np.empty((0, 2), np.int64)
+        for i in range(0, len(pair), 100_000):
+            a, b = pair[i : i + 100_000].T
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["run", "a", "b"])
+        done = set()
+        for i, k in zip(start[size > few], size[size > few], strict=True):
+            own = doc[i : i + k]
+            if (name := node_of(own.view(np.uint64))) not in done:
+                done.add(name)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(own), pa.nulls(k, pa.int64())], names=["run", "a", "b"])
 
     parts = shuffle_parts(m.sparkSession)
-    keys = m.select(F.explode("keys").alias("k"), "doc_id").repartition(parts, "k")
-    return keys.mapInArrow(run, "a long, b long").distinct()
+    keys = m.select(F.explode("keys").alias("k"), "node").repartition(parts, "k")
+    return keys.mapInArrow(run, "run long, a long, b long").distinct()
+
+
+def _bound(n: np.ndarray, share: float, t: float) -> np.ndarray:
+    """The largest sketch distance of near pairs whose sizes add up to n (for sampled sketches: but for 4 standard
+    deviations)."""
+    far = (1 - t) / (1 + t) * n * share
+    return far + (4 * np.sqrt(far) if share < 1 else 0) + 1e-9
 
 
-def near_links(link: DataFrame, m: DataFrame, t: float) -> DataFrame:
-    """The links whose sketches leave the threshold possible (for sampled sketches: but for 4 standard deviations)."""
-    side = lambda x: m.select(F.col("doc_id").alias(x), F.struct("n", "low", "sketch_low", "sketch_high").alias(f"m{x}"))
-    both = link.join(side("a"), "a").join(side("b"), "b")
-    # one row of each id is enough; rows that repeat an id give the link again, which distinct ends
+def near_links(link: DataFrame, side: DataFrame, t: float) -> DataFrame:
+    """The pairs whose sketches leave the threshold possible."""
+    half = lambda x: side.select(F.col("node").alias(x), F.struct("n", "low", "sketch_low", "sketch_high").alias(f"m{x}"))
+    both = link.join(half("a"), "a").join(half("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -151,12 +178,45 @@ def near_links(link: DataFrame, m: DataFrame, t: float) -> DataFrame:
                     continue
                 p = x["sketch_low"] if x["low"] == y["low"] else x["sketch_high"]
                 h = int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(y["sketch_low"], np.uint64)).sum())
-                share = plan(y["low"], t)[2]
-                far = (1 - t) / (1 + t) * (x["n"] + y["n"])
-                ok.append(h <= far * share + (4 * math.sqrt(far * share) if share < 1 else 0) + 1e-9)
+                ok.append(h <= _bound(x["n"] + y["n"], plan(y["low"], t)[2], t))
             yield b.loc[np.array(ok, bool), ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long").distinct()
+    return both.mapInPandas(run, "a long, b long")
+
+
+def near_in_runs(member: DataFrame, side: DataFrame, t: float) -> DataFrame:
+    """(a, b): of the pairs within a long run whose sketches leave the threshold possible, links that connect the same
+    contents. A run is held against itself in pairs of blocks."""
+    blocks = member.groupBy("run").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks"))
+    one = member.join(blocks, "run").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    one = one.select("run", "block", F.expr("explode(sequence(0, blocks - 1))").alias("o"), F.col("a").alias("node"))
+    sent = one.join(side.select("node", "n", "low", "sketch_low", "sketch_high"), "node").withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.drop_duplicates("node")
+        band = b.low.max()
+        bits = np.stack([np.frombuffer(x if k == band else y, np.uint64) for k, x, y in zip(b.low, b.sketch_low, b.sketch_high, strict=True)])
+        node, n, share = b.node.to_numpy(), b.n.to_numpy(), plan(int(band), t)[2]
+        p, q = np.flatnonzero(b.block == b.i), np.flatnonzero(b.block == b.j)
+        root = np.arange(len(b))
+        step = max(1, (1 << 24) // max(1, len(q)))
+        for k in range(0, len(p), step):
+            r = p[k : k + step]
+            h = np.zeros((len(r), len(q)), np.uint16)
+            for w in range(bits.shape[1]):
+                h += np.bitwise_count(bits[r, w][:, None] ^ bits[q, w][None, :])
+            hit = h <= _bound(n[r][:, None] + n[q][None, :], share, t)
+            for x, ok in zip(r, hit, strict=True):
+                near = q[ok]
+                near = near[root[near] != root[x]]
+                if len(near):
+                    old = np.unique(np.append(root[near], root[x]))
+                    root[np.isin(root, old)] = old[0]
+        far = np.flatnonzero(root != np.arange(len(b)))
+        u, v = node[far], node[root[far]]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return sent.groupBy("run", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,38 +259,44 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def contents(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(set1, set2, rep, docs) of every content, and the exact pairs (a, b, inter, union) of reps that reach t."""
+    """(node, rep, docs) of every content, and the exact pairs (a, b, inter, union) of nodes that reach t."""
     m = written(marks(docs, n, t), "marks")
-    near = written(near_links(links(m), m, t), "links")
-    same = written(m.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_list("doc_id")).alias("docs")), "contents")
-    linked = same.filter("size(docs) > 1")
-    # links between reps: copies are one node
-    rep = linked.select(F.explode("docs").alias("d"), "rep").distinct()
-    as_rep = lambda e, c: e.join(rep.withColumnRenamed("d", c).withColumnRenamed("rep", f"r{c}"), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
-    edges = as_rep(as_rep(near, "a"), "b").filter("a <> b")
-    comp = written(components(edges), "components")
+    same = written(m.groupBy("node").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_list("doc_id")).alias("docs")), "contents")
+    found = written(runs(m), "runs")
+    side = m.select("node", "n", "low", "sketch_low", "sketch_high").dropDuplicates(["node"])
+    near = near_links(found.filter("run is null").select("a", "b"), side, t)
+    long = found.filter("run is not null").select("run", "a")
+    if not long.isEmpty():
+        near = near.unionByName(near_in_runs(long, side, t))
+    comp = written(components(near), "components")
     size = comp.groupBy("comp").agg(F.count("*").alias("members"))
     place = comp.join(size, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    place = written(place.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "comp", "blocks", "block"), "places")
-    # texts move only of documents in components, once for each pair of blocks that needs them
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(place, "doc_id").dropDuplicates(["doc_id"])
+    place = place.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumnRenamed("doc_id", "node")
+    place = written(place.join(same.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id"), "comp", "blocks", "block"), "places")
+    # texts move only of contents in components, once for each pair of blocks that needs them
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(place, "doc_id")
     other = F.expr("explode(sequence(0, blocks - 1))")
-    sent = text.select("doc_id", "comp", "block", other.alias("o"), "text").select("doc_id", "comp", "text", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    sent = text.select("doc_id", "node", "comp", "block", other.alias("o"), "text").select("doc_id", "node", "comp", "text", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("doc_id")
         i, j = b.i.iloc[0], b.j.iloc[0]
+        b = b.sort_values(["doc_id", "node"])
+        if b.duplicated("node").any() or b.duplicated("doc_id").any():  # rows that repeat an id: of each node one that has its set
+            own = [len(s := shingle_set(normal_bytes(x), n)) > 0 and node_of(s) == k for x, k in zip(b.text, b.node, strict=True)]
+            b = b[own].drop_duplicates("node")
         sets = [shingle_set(normal_bytes(x), n) for x in b.text]
-        ids, blk, size = b.doc_id.to_numpy(), b.block.to_numpy(), np.array([len(s) for s in sets])
+        ids, blk, size = b.node.to_numpy(), b.block.to_numpy(), np.array([len(s) for s in sets])
         p, q = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "b": [], "inter": [], "uni": []}, dtype=np.int64)
         inter = _overlaps([sets[k] for k in p], [sets[k] for k in q]).astype(np.int64)
         union = size[p][:, None] + size[q][None, :] - inter
         hit = inter >= t * union - 1e-9
         if i == j:
-            hit &= ids[p][:, None] < ids[q][None, :]
+            hit &= p[:, None] < q[None, :]
         x, y = np.nonzero(hit)
-        u, v = ids[p[x]], ids[q[y]]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "inter": inter[x, y], "uni": union[x, y]})
+        u, v = np.minimum(p[x], q[y]), np.maximum(p[x], q[y])  # rows are in order of (doc_id, node)
+        return pd.DataFrame({"a": ids[u], "b": ids[v], "inter": inter[x, y], "uni": union[x, y]})
 
     return same, sent.groupBy("comp", "i", "j").applyInPandas(run, "a long, b long, inter long, uni long")
 
@@ -238,7 +304,7 @@ def contents(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFra
 def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """All pairs of contents with Jaccard similarity of at least t, and the contents with copies."""
     same, pairs = contents(docs, n, t)
-    a, b = same.select(F.col("rep").alias("a"), F.col("docs").alias("docs_a")), same.select(F.col("rep").alias("b"), F.col("docs").alias("docs_b"))
+    a, b = same.select(F.col("node").alias("a"), F.col("docs").alias("docs_a")), same.select(F.col("node").alias("b"), F.col("docs").alias("docs_b"))
     near = pairs.join(a, "a").join(b, "b").select("docs_a", "docs_b", F.round(F.col("inter") / F.col("uni"), 6).alias("jaccard"))
     return near.unionByName(same.filter("size(docs) > 1").select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard")))
 
@@ -246,9 +312,10 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
 def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_id, keeper): for each document with a near or exact copy the least doc_id it is connected with."""
     same, pairs = contents(docs, n, t)
-    comp = components(pairs.select("a", "b"))
-    member = same.join(comp, same.rep == comp.doc_id, "left").filter("comp is not null or size(docs) > 1")
-    return member.select(F.explode("docs").alias("doc_id"), F.coalesce("comp", "rep").alias("keeper"))
+    comp = written(components(pairs.select("a", "b")), "groups").withColumnRenamed("doc_id", "node")
+    least = comp.join(same, "node").groupBy("comp").agg(F.min("rep").alias("least"))
+    member = same.join(comp.join(least, "comp"), "node", "left").filter("comp is not null or size(docs) > 1")
+    return member.select(F.explode("docs").alias("doc_id"), F.coalesce("least", "rep").alias("keeper"))
 
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:

@@ -108,3 +108,28 @@ def test_recall_per_size_class_at_the_threshold():
                 keys.append(set(J.sketch(np.sort(x), low, t)[0].tolist()) | set(J.sketch(np.sort(x), low + 1, t)[0].tolist()))
             found += bool(keys[0] & keys[1])
         assert found >= (0.995 if n <= J.STRICT else 0.96) * 400, (n, found)
+
+
+def test_pairs_within_a_passage_that_thousands_share(spark):
+    rng = np.random.default_rng(4)
+    passage, rows, i = [f"p{k}" for k in range(64)], [], 0
+    fresh = lambda k: [f"x{v}" for v in rng.integers(0, 2**60, k)]
+    planted = set()
+    for k in range(2400):
+        own = fresh(35)
+        rows.append((i, " ".join(passage + own), "en", "s", 1))
+        if k % 12 == 0:  # shares the passage and a part of what is its own
+            rows.append((i + 5000, " ".join(passage + own[:14] + fresh(21)), "en", "s", 1))
+            planted.add((i, i + 5000))
+        i += 1
+    got = pairs(J.join(table(spark, rows)))
+    want = {(min(a, b), max(a, b)) for a, b in planted}
+    assert got <= want and len(got) >= 0.96 * len(want)
+
+
+def test_long_runs_in_blocks(spark, monkeypatch):
+    rows = corpus(6, 80)
+    whole = pairs(J.join(table(spark, rows)))
+    monkeypatch.setattr(J, "RUN", 1)
+    monkeypatch.setattr(J, "RUN_BLOCK", 2)
+    assert pairs(J.join(table(spark, rows))) == whole
