@@ -309,20 +309,37 @@ def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     return near.unionByName(same.filter("size(docs) > 1").select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard")))
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(doc_id, keeper): for each document with a near or exact copy the least doc_id it is connected with."""
+def _members(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(doc_id, node, keeper) of each document that has a near or exact copy."""
     same, pairs = contents(docs, n, t)
     comp = written(components(pairs.select("a", "b")), "groups").withColumnRenamed("doc_id", "node")
     least = comp.join(same, "node").groupBy("comp").agg(F.min("rep").alias("least"))
     member = same.join(comp.join(least, "comp"), "node", "left").filter("comp is not null or size(docs) > 1")
-    return member.select(F.explode("docs").alias("doc_id"), F.coalesce("least", "rep").alias("keeper"))
+    return member.select(F.explode("docs").alias("doc_id"), "node", F.coalesce("least", "rep").alias("keeper"))
+
+
+def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, keeper): for each document with a near or exact copy the least doc_id it is connected with."""
+    return _members(docs, n, t).select("doc_id", "keeper")
 
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """The documents without all but one of each group of copies: the least doc_id stays, and of rows that repeat it one."""
-    gone = groups(docs, n, t).filter("doc_id <> keeper").select(F.col("doc_id").alias("i")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("i")).join(gone, "i", "left_anti")
-    return rows.select("row.*")
+    """The documents without all but one of each group of copies: the least doc_id stays. Of rows that repeat an id those
+    go whose own text has a copy of a lesser id."""
+    gone = _members(docs, n, t).filter("doc_id <> keeper").groupBy(F.col("doc_id").alias("i")).agg(F.collect_set("node").alias("nodes"))
+    gone = written(gone.join(docs.groupBy(F.col("doc_id").alias("i")).agg(F.count("*").alias("rows")), "i"), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("i"))
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([node_of(s) if len(s := shingle_set(normal_bytes(x), n)) else None for x in texts], dtype="Int64")
+
+    left = rows.join(gone.select("i"), "i", "left_anti").select("row.*")
+    repeated = gone.filter("rows > 1")
+    if repeated.isEmpty():
+        return left
+    again = rows.join(repeated, "i").withColumn("own", node("row.text"))
+    return left.unionByName(again.filter("own is null or not array_contains(nodes, own)").select("row.*"))
 
 
 def brute_force(ids: list[int], texts: list[str | None], n: int = N, t: float = THRESHOLD) -> set[tuple[int, int]]:

@@ -133,3 +133,11 @@ def test_long_runs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "RUN", 1)
     monkeypatch.setattr(J, "RUN_BLOCK", 2)
     assert pairs(J.join(table(spark, rows))) == whole
+
+
+def test_a_repeated_id_with_another_text(spark):
+    other = " ".join(f"y{k}" for k in range(40))
+    rows = [(1, EN, "en", "s", 1), (2, other, "en", "s", 1), (7, EN + " too", "en", "s", 1), (7, other + " too", "en", "s", 1), (7, "a text of its own here", "en", "s", 1)]
+    assert pairs(J.join(table(spark, rows))) == {(1, 7), (2, 7)}
+    kept = sorted((r.doc_id, r.text) for r in J.keep_one(table(spark, rows)).collect())
+    assert kept == [(1, EN), (2, other), (7, "a text of its own here")]
