@@ -2,7 +2,7 @@
 
 A text becomes an L2-normalised TF-IDF vector of hashed byte n-grams; every language owns several centroids
 (spherical k-means of a labelled sample); the nearest centroid by cosine names the language, unless it is farther
-than that centroid's rejection distance.
+than the language's rejection distance at the text's length (in distinct n-grams): any long text is nearer to any centroid than a short one.
 
 Defined results: a null, empty or letterless text has no vector: lang null, distance 1, rejected. Whole texts are read.
 Ties go to the centroid first in (language, cluster) order. An empty table gives an empty table, and fitting on no
@@ -12,7 +12,7 @@ labelled row gives a model that rejects everything. Extra columns pass through;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -58,24 +58,36 @@ class CentroidModel:
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
-    radius: np.ndarray
+    radius: np.ndarray  # the largest rejection distance of each centroid's language
+    limits: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by language: log2 of distinct n-grams, distance
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
-        m = np.sqrt(counts_matrix(texts)) * self.idf
+        return self._unit(counts_matrix(texts))
+
+    def _unit(self, counts: np.ndarray) -> np.ndarray:
+        m = np.sqrt(counts) * self.idf
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
     def nearest(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest centroid (-1: none) and the cosine distance."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """nearest(), and whether the text is rejected."""
         if not self.langs:
-            return np.full(len(texts), -1), np.ones(len(texts))
-        who, dist = np.empty(len(texts), np.int64), np.empty(len(texts))
+            return np.full(len(texts), -1), np.ones(len(texts)), np.ones(len(texts), bool)
+        who, dist, size = np.empty(len(texts), np.int64), np.empty(len(texts)), np.empty(len(texts))
         for i in range(0, len(texts), 256):
-            v = self.vectors(texts[i : i + 256])
+            c = counts_matrix(texts[i : i + 256])
+            v = self._unit(c)
             d = np.round((1 - v @ self.centroids.T).astype(np.float64), 6)
             k = d.argmin(axis=1)
             who[i : i + 256], dist[i : i + 256] = np.where(v.any(axis=1), k, -1), d[np.arange(len(d)), k]
-        return who, np.where(who < 0, 1.0, dist)
+            size[i : i + 256] = (c > 0).sum(axis=1)
+        limit = np.array([-1.0 if k < 0 else np.interp(np.log2(max(1, n)), *self.limits[self.langs[k]]) for k, n in zip(who, size, strict=True)])
+        dist = np.where(who < 0, 1.0, dist)
+        return who, dist, dist > limit
 
 
 def _kmeans(v: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -94,9 +106,35 @@ def _kmeans(v: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c
 
 
-def fit_rows(texts: list[str], langs: list[str], clusters: int = 4, slack: float = 1.5, seed: int = 7) -> CentroidModel:
-    """The model of labelled texts. A centroid's rejection distance is slack times the 99.5 % quantile of the
-    distances of its members, at least 0.85 so that short clean texts, whose vectors are sparse, stay; below 0.985."""
+def _limits(model: CentroidModel, texts: list[str], v: np.ndarray, clusters: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log2 of distinct n-grams, rejection distance) of a language. Each half's centroids are held against the beginnings, 5, 10,
+    20... characters long, of the other half's texts and against the same with their characters shuffled. The limit lies
+    midway between the 99 % quantile of the one and the median of the other; of fewer than 8 texts it is that median."""
+    rng, at, limit, length = np.random.default_rng(seed), [], [], 5
+    halves = [(v[0::2], texts[1::2]), (v[1::2], texts[0::2])] if len(texts) >= 8 else [(v, texts)]
+    halves = [(_kmeans(x, clusters, seed), own) for x, own in halves]
+    while True:
+        size, true, noise = [], [], []
+        for c, own in halves:
+            part = [t[:length] for t in own if len(t) >= length or length == 5]
+            n = counts_matrix(part)
+            other = model.vectors(["".join(rng.permutation(list(t))) for t in part])
+            ok = n.any(axis=1) & other.any(axis=1)
+            if ok.any():
+                size.append((n[ok] > 0).sum(axis=1)), true.append((1 - model._unit(n[ok]) @ c.T).min(axis=1)), noise.append((1 - other[ok] @ c.T).min(axis=1))
+        if sum(map(len, size)) < (min(10, len(texts)) if at else 1):
+            break
+        far = float(np.median(np.concatenate(noise)))
+        near = min(far, float(np.quantile(np.concatenate(true), 0.99))) if len(texts) >= 8 else far
+        at.append(float(np.log2(np.median(np.concatenate(size))))), limit.append((near + far) / 2)
+        length *= 2
+    if not at:  # letters come late in all the texts
+        return np.zeros(1), np.full(1, 0.985)
+    return np.maximum.accumulate(np.array(at)), np.minimum(0.985, np.array(limit))
+
+
+def fit_rows(texts: list[str], langs: list[str], clusters: int = 4, seed: int = 7) -> CentroidModel:
+    """The model of labelled texts, with rejection distances from texts held out."""
     ok = [(t, la) for t, la in zip(texts, langs, strict=True) if la is not None and _grams(t) is not None]
     if not ok:
         return CentroidModel(np.ones(DIMS, np.float32), np.empty((0, DIMS), np.float32), [], np.empty(0))
@@ -104,17 +142,14 @@ def fit_rows(texts: list[str], langs: list[str], clusters: int = 4, slack: float
     df = (counts_matrix(texts) > 0).sum(axis=0)
     model = CentroidModel((np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32), np.empty((0, DIMS), np.float32), [], np.empty(0))
     v = model.vectors(texts)
-    cents, names, radii = [], [], []
+    cents, names, limits = [], [], {}
     for la in sorted(set(labels)):
-        own = v[labels == la]
-        c = _kmeans(own, clusters, seed)
-        d, who = 1 - own @ c.T, (own @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            mine = d[who == j, j]
-            radii.append(min(0.985, max(0.85, slack * float(np.quantile(mine, 0.995)))) if len(mine) else 0.85)
+        mine = np.flatnonzero(labels == la)
+        c = _kmeans(v[mine], clusters, seed)
+        limits[str(la)] = _limits(model, [texts[i] for i in mine], v[mine], clusters, seed)
         cents.append(c)
         names += [str(la)] * len(c)
-    return CentroidModel(model.idf, np.vstack(cents).astype(np.float32), names, np.array(radii))
+    return CentroidModel(model.idf, np.vstack(cents).astype(np.float32), names, np.array([limits[x][1].max() for x in names]), limits)
 
 
 def labelled_sample(docs: DataFrame, per_lang: int, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
@@ -145,8 +180,7 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            who, dist = m.nearest(b.column(text_col).to_pylist())
-            far = [k < 0 or d > m.radius[k] for k, d in zip(who, dist, strict=True)]
+            who, dist, far = m.judge(b.column(text_col).to_pylist())
             new = [pa.array([None if k < 0 else m.langs[k] for k in who], pa.string()), pa.array(dist, pa.float64()), pa.array(far, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 

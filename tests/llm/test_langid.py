@@ -58,3 +58,17 @@ def test_edges(spark):
     assert langid.identify(empty(spark), m).count() == 0
     none = langid.fit(empty(spark))
     assert langid.identify(table(spark, [(1, EN, "en", "a", 1)]), none).first().lang_rejected
+
+
+def test_noise_scripts_and_unseen_languages_are_rejected_at_any_length():
+    d = duckdb.sql("select text, lang from '/root/testdata/sf0.01/documents.parquet' where text is not null order by hash(doc_id)").df()
+    m = langid.fit_rows(d.text[:700].tolist(), d.lang[:700].tolist())
+    rng = np.random.default_rng(0)
+    finnish = "Suomen kieli kuuluu uralilaisten kielten itämerensuomalaiseen ryhmään ja sitä puhutaan pääasiassa Suomessa Ruotsissa Norjassa sekä Virossa ja Venäjällä monin paikoin "
+    for n in (200, 1000, 5000, 20000):
+        texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), n)), (finnish * 200)[:n]]
+        texts += ["".join(map(chr, rng.integers(*span, n))) for span in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9FA5), (0x621, 0x64B))]
+        assert m.judge(texts)[2].all(), n
+    for n in (20, 40, 80, 160, 1000):
+        clean = [t[:n] for t in d.text[700:] if len(t) >= n]
+        assert m.judge(clean)[2].mean() < 0.03, n
