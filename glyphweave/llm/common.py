@@ -40,7 +40,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -48,6 +50,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    drop_path(df.sparkSession, df._written_to)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint if a count (of a written table: of its footers) allows it, else the table as it is."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -55,8 +62,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words; null counts 0."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\r\\f\\x0B]+", " "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.translate(flat, " ", "")) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r\\f\\x0B]++")), F.lit(0)).cast("long")
 
 
 def shuffle_parts(spark: SparkSession) -> int:

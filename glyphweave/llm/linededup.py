@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, work_dir, written
+from .common import drop_path, mix64, work_dir, written
 
 SLOTS = 4
 SHARD_LINES = 1_000_000
@@ -115,13 +115,18 @@ class CuckooFilter:
 
     def remove(self, h: np.ndarray) -> None:
         """One fingerprint for each hash; only for hashes that were added."""
-        f, a, b = self._spots(h)
-        for i in range(len(f)):
-            for x in (a[i], b[i]):
-                at = np.flatnonzero(self.table[x] == f[i])
-                if len(at):
-                    self.table[x, at[0]] = 0
-                    break
+        f, *spots = self._spots(h)
+        for k in (0, 1):  # the second bucket for those that the first one lacks
+            left, had = np.arange(len(f)), np.zeros(len(f), bool)
+            while len(left):  # a round takes at most one fingerprint out of each bucket
+                _, one = np.unique(spots[k][left], return_index=True)
+                now = left[one]
+                hit = self.table[spots[k][now]] == f[now][:, None]
+                has = hit.any(axis=1)
+                self.table[spots[k][now[has]], hit[has].argmax(axis=1)] = 0
+                had[now[has]] = True
+                left = np.delete(left, one)
+            f, spots = f[~had], [x[~had] for x in spots]
 
     @classmethod
     def of(cls, h: np.ndarray) -> CuckooFilter:
@@ -157,6 +162,12 @@ class LineIndex:
         df.write.parquet(path)
         return path
 
+    def forget(self, places: bool = False) -> None:
+        """Deletes the tables of a state that nothing reads any more; the places only if the next state doesn't share them."""
+        for p in (self.refs, self.filters, *(self.places if places else ())):
+            if p:
+                drop_path(self.spark, p)
+
     def _filters(self, refs: str) -> str:
         """The filters of all of refs, each built by one task from the hashes of its shard."""
         ref = self.spark.read.parquet(refs)
@@ -270,6 +281,22 @@ def new_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> LineIndex:
     return LineIndex(docs.sparkSession, max(1, -(-rows * 9 // shard_lines)))
 
 
+def redelivered(docs: DataFrame, again: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The documents as they remain after a correction: those that again holds for come first, then the rest, to whose lines
+    the filters are asked; then the first ones are deleted, which gives lines that others have their next places, and come
+    once more, as the last. So a line stays at its first place among the rest, or else among those delivered again."""
+    late = docs.filter(F.coalesce(again, F.lit(False)))
+    one, _ = new_index(docs).insert(late, text_col, id_col)
+    two, kept = one.insert(docs.filter(~F.coalesce(again, F.lit(False))), text_col, id_col)
+    one.forget()
+    three, moved = two.delete(late.select(id_col))
+    two.forget(places=True)
+    four, last = three.insert(late, text_col, id_col)
+    three.forget()
+    four.forget(places=True)
+    return rebuild(docs, kept.unionByName(moved).unionByName(last), text_col, id_col)
+
+
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[LineIndex, DataFrame]:
     """All documents inserted into an empty index; the state and the documents as they remain."""
     index, kept = new_index(docs).insert(docs, text_col, id_col)

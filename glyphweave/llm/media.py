@@ -5,7 +5,8 @@ co64, stss) are decoded with numpy, and fragments (moof with tfhd and trun over
 each track: kind, codec, timescale, duration, number of samples and the byte ranges of its keyframes.
 
 Defined results: a null or empty value gives one row with error "empty"; what is no container, is cut off within its
-index or has tables that contradict each other gives one row with the error named. A track without stss has keyframes
+index or has tables that contradict each other or claim more than a file of its size can hold gives one row with the
+error named; a duration that the header leaves open is null. A track without stss has keyframes
 only. A container without tracks gives one row with error "no track". Repeated rows are read each on their own; ties
 can't arise. Other columns are ignored unless named in keep; clashing names are replaced. An empty table gives an empty
 table.
@@ -64,44 +65,79 @@ def _table(m: memoryview, at: int, end: int, kind: str, columns: int = 1, skip:
     return t.reshape(-1, columns) if columns > 1 else t
 
 
-def _samples(m: memoryview, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(offsets, sizes, keyframe numbers, duration) from the sample tables of a track."""
+class Bounds:
+    """What a file's tables may claim: samples that take no room in a table can't outnumber the file's bytes, and sums stay
+    within 62 bits. So no array grows beyond the file, whatever its fields say."""
+
+    def __init__(self, size: int):
+        self.left = size
+
+    def claim(self, n: int) -> int:
+        self.left -= n
+        if self.left < 0:
+            raise Broken("more samples than bytes")
+        return n
+
+    @staticmethod
+    def fits(x: int | float) -> None:
+        if not 0 <= x < 1 << 62:
+            raise Broken("a number out of range")
+
+
+def _total(count: np.ndarray, each: np.ndarray) -> int:
+    Bounds.fits(float((count.astype(float) * each).sum()))
+    return int((count * each).sum())
+
+
+def _samples(m: memoryview, t: dict, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(keyframe offsets, keyframe sizes, samples, duration) from the sample tables of a track. Places are found for
+    keyframes only, so equal sizes are never spread over the samples."""
+    size, fixed, n = np.zeros(0, np.int64), 0, 0
     if "stsz" in t:
         a, b = t["stsz"]
+        if b - a < 12:
+            raise Broken("cut off in a table")
         fixed, n = struct.unpack_from(">II", m, a + 4)
-        size = np.full(n, fixed, np.int64) if fixed else _table(m, a, b, ">u4", 1, 12)
+        if not fixed:
+            size = _table(m, a, b, ">u4", 1, 12)
     elif "stz2" in t:
         a, b = t["stz2"]
+        if b - a < 12:
+            raise Broken("cut off in a table")
         width, n = m[a + 7], struct.unpack_from(">I", m, a + 8)[0]
         if width == 4:
+            if a + 12 + (n + 1) // 2 > b:
+                raise Broken("a table longer than its box")
             raw = np.frombuffer(m[a + 12 : a + 12 + (n + 1) // 2], np.uint8)
             size = np.column_stack([raw >> 4, raw & 15]).ravel()[:n].astype(np.int64)
         else:
             size = _table(m, a, b, ">u2" if width == 16 else ">u1", 1, 12)
-        if len(size) != n:
-            raise Broken("a table longer than its box")
-    else:
-        size = np.zeros(0, np.int64)
-    n = len(size)
+    Bounds.fits(fixed * n)
     chunk = _table(m, *t["co64"], ">u8") if "co64" in t else _table(m, *t["stco"], ">u4") if "stco" in t else np.zeros(0, np.int64)
     runs = _table(m, *t["stsc"], ">u4", 3) if "stsc" in t else np.zeros((0, 3), np.int64)
-    if n and (not len(chunk) or not len(runs)):
-        raise Broken("samples without chunks")
-    if n:
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1)).clip(0))
-        if len(per) != len(chunk) or per.sum() < n:
-            raise Broken("sample tables contradict each other")
-        of = np.repeat(np.arange(len(chunk)), per)[:n]
-        before = np.cumsum(size) - size
-        first = np.searchsorted(of, of, side="left")  # first sample of each sample's chunk
-        offset = chunk[of] + before - before[first]
-    else:
-        offset = np.zeros(0, np.int64)
     times = _table(m, *t["stts"], ">u4", 2) if "stts" in t else np.zeros((0, 2), np.int64)
-    keys = _table(m, *t["stss"], ">u4") - 1 if "stss" in t else np.arange(n)
-    if len(keys) and (keys.min() < 0 or keys.max() >= max(n, 1)):
-        raise Broken("a keyframe beyond the samples")
-    return offset, size, keys, int((times[:, 0] * times[:, 1]).sum())
+    duration = _total(times[:, 0], times[:, 1])
+    if "stss" in t:
+        keys = _table(m, *t["stss"], ">u4") - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= max(n, 1)):
+            raise Broken("a keyframe beyond the samples")
+    else:
+        keys = np.arange(bounds.claim(n))
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0, duration
+    if not len(chunk) or not len(runs):
+        raise Broken("samples without chunks")
+    if chunk.min() < 0 or chunk.max() >= 1 << 62:
+        raise Broken("a number out of range")
+    steps = np.diff(np.append(runs[:, 0], len(chunk) + 1))
+    if runs[0, 0] != 1 or steps.min() < 0 or (last := np.cumsum(per := np.repeat(runs[:, 1], steps)))[-1] < n:
+        raise Broken("sample tables contradict each other")
+    of = np.searchsorted(last, keys, side="right")  # each keyframe's chunk
+    first = last[of] - per[of]
+    if fixed:
+        return chunk[of] + (keys - first) * fixed, np.full(len(keys), fixed, np.int64), n, duration
+    before = np.concatenate(([0], np.cumsum(size)))
+    return chunk[of] + before[keys] - before[first], size[keys], n, duration
 
 
 def _track(m: memoryview, at: int, end: int, depth: int = 0) -> dict:
@@ -117,7 +153,7 @@ def _track(m: memoryview, at: int, end: int, depth: int = 0) -> dict:
     return t
 
 
-def _fragment(m: memoryview, moof: int, a: int, b: int, trex: dict[int, tuple], out: dict) -> None:
+def _fragment(m: memoryview, moof: int, a: int, b: int, trex: dict[int, tuple], out: dict, bounds: Bounds) -> None:
     tid, base, after = 0, moof, None
     size0 = dur0 = flags0 = 0
     for kind, _, x, y in boxes(m, a, b):
@@ -148,6 +184,8 @@ def _fragment(m: memoryview, moof: int, a: int, b: int, trex: dict[int, tuple],
             names = [k for k, bit in (("d", 0x100), ("s", 0x200), ("f", 0x400), ("c", 0x800)) if flags & bit]
             if p + 4 * n * len(names) > y:
                 raise Broken("a table longer than its box")
+            if not names:
+                bounds.claim(n)
             rows = np.frombuffer(m[p : p + 4 * n * len(names)], ">u4").astype(np.int64).reshape(n, len(names)) if names else np.zeros((n, 0), np.int64)
             col = {k: rows[:, i] for i, k in enumerate(names)}
             size = col.get("s", np.full(n, size0, np.int64))
@@ -155,58 +193,69 @@ def _fragment(m: memoryview, moof: int, a: int, b: int, trex: dict[int, tuple],
             fl = col.get("f", np.full(n, flags0, np.int64)).copy()
             if first is not None and n:
                 fl[0] = first
+            one = np.ones(n, np.int64)
+            Bounds.fits(start), Bounds.fits(after := start + _total(one, size))
             off = start + np.cumsum(size) - size
-            after = start + int(size.sum())
-            out.setdefault(tid, []).append((off, size, np.flatnonzero(fl & 0x10000 == 0), int(dur.sum())))
-
-
-def probe(data: bytes | None) -> list[tuple]:
+            keys = np.flatnonzero(fl & 0x10000 == 0)
+            out.setdefault(tid, []).append((off[keys], size[keys], n, _total(one, dur)))
+
+
+def _probe(m: memoryview) -> list[tuple]:
+    """A row of FIELDS for each track, keyframe ranges as arrays."""
+    tracks, trex, frags, bounds = [], {}, {}, Bounds(len(m))
+    for kind, start, a, b in boxes(m, 0, len(m)):
+        if kind == b"moov":
+            for k, _, x, y in boxes(m, a, b):
+                if k == b"trak":
+                    tracks.append(_track(m, x, y))
+                elif k == b"mvex":
+                    for k2, _, u, _v in boxes(m, x, y):
+                        if k2 == b"trex":
+                            tid, _, d, s, f = struct.unpack_from(">5I", m, u + 4)
+                            trex[tid] = (d, s, f)
+        elif kind == b"moof":
+            for k, _, x, y in boxes(m, a, b):
+                if k == b"traf":
+                    _fragment(m, start, x, y, trex, frags, bounds)
+    if not tracks:
+        raise Broken("no track")
+    out, seen = [], set()
+    for t in tracks:
+        if not {"tkhd", "mdhd", "hdlr", "stsd"} <= t.keys():
+            raise Broken("a track without its headers")
+        a = t["tkhd"][0]
+        tid = struct.unpack_from(">I", m, a + (20 if m[a] else 12))[0]
+        if tid in seen:
+            raise Broken("two tracks of one id")
+        seen.add(tid)
+        a = t["mdhd"][0]
+        scale, length = struct.unpack_from(">IQ", m, a + 20) if m[a] else struct.unpack_from(">II", m, a + 12)
+        a = t["hdlr"][0]
+        kind = bytes(m[a + 8 : a + 12]).decode("latin-1")
+        a, b = t["stsd"]
+        codec = bytes(m[a + 12 : a + 16]).decode("latin-1") if b - a >= 16 else None
+        off, size, n, dur = _samples(m, t, bounds)
+        own = [(off, size, n, dur), *frags.get(tid, [])]
+        n, dur = sum(x[2] for x in own), sum(x[3] for x in own) or length
+        starts, sizes = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+        out.append((tid, kind, codec, scale, dur if dur < 1 << 63 else None, n, starts, starts + sizes, None))  # all bits set: not known
+    return out
+
+
+def probe(data: bytes | memoryview | None) -> list[tuple]:
     """A row of FIELDS for each track, or one with an error."""
-    bad = lambda why: [(None,) * 6 + (None, None, why)]
     if not data:
-        return bad("empty")
-    m = memoryview(data)
-    tracks, trex, frags = [], {}, {}
-    try:
-        for kind, start, a, b in boxes(m, 0, len(m)):
-            if kind == b"moov":
-                for k, _, x, y in boxes(m, a, b):
-                    if k == b"trak":
-                        tracks.append(_track(m, x, y))
-                    elif k == b"mvex":
-                        for k2, _, u, _v in boxes(m, x, y):
-                            if k2 == b"trex":
-                                tid, _, d, s, f = struct.unpack_from(">5I", m, u + 4)
-                                trex[tid] = (d, s, f)
-            elif kind == b"moof":
-                for k, _, x, y in boxes(m, a, b):
-                    if k == b"traf":
-                        _fragment(m, start, x, y, trex, frags)
-        if not tracks:
-            return bad("no track")
-        out = []
-        for t in tracks:
-            if not {"tkhd", "mdhd", "hdlr", "stsd"} <= t.keys():
-                raise Broken("a track without its headers")
-            a = t["tkhd"][0]
-            tid = struct.unpack_from(">I", m, a + (20 if m[a] else 12))[0]
-            a = t["mdhd"][0]
-            scale, length = struct.unpack_from(">IQ", m, a + 20) if m[a] else struct.unpack_from(">II", m, a + 12)
-            a = t["hdlr"][0]
-            kind = bytes(m[a + 8 : a + 12]).decode("latin-1")
-            a, b = t["stsd"]
-            codec = bytes(m[a + 12 : a + 16]).decode("latin-1") if b - a >= 16 else None
-            off, size, keys, dur = _samples(m, t)
-            starts, ends, n = [off[keys]], [off[keys] + size[keys]], len(size)
-            for o, s, k, d in frags.get(tid, []):
-                starts.append(o[k]), ends.append(o[k] + s[k])
-                n, dur = n + len(s), dur + d
-            out.append((tid, kind, codec, scale, dur or length, n, np.concatenate(starts).tolist(), np.concatenate(ends).tolist(), None))
-        return out
-    except Broken as e:
-        return bad(str(e))
-    except (struct.error, IndexError):
-        return bad("cut off in a header")
+        why = "empty"
+    else:
+        try:
+            return _probe(memoryview(data))
+        except Broken as e:
+            why = str(e)
+        except (struct.error, IndexError):
+            why = "cut off in a header"
+        except (ValueError, OverflowError):
+            why = "a number out of range"
+    return [(None,) * (len(FIELDS) - 1) + (why,)]
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -266,7 +315,7 @@ def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
         for b in batches:
             rows, of = [], []
             for i, x in enumerate(b.column(b.num_columns - 1)):
-                got = probe(x.as_py())
+                got = probe(memoryview(x.as_buffer()) if x.is_valid else None)
                 rows += got
                 of += [i] * len(got)
             cols = list(zip(*rows, strict=True)) or [()] * len(FIELDS)

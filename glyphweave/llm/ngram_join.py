@@ -15,19 +15,21 @@ against each other by sketch: those of a run of up to RUN contents as links, tho
 hits only the links that keep them connected go on. So nothing is thinned before it is tested; a passage that m contents
 share costs m * m sketch distances. Connected components are verified exactly, all pairs of a component in blocks.
 
-Result: (docs_a, docs_b, jaccard), the sorted lists of doc_ids of two contents: each pair across them has that
-similarity; docs_a = docs_b (jaccard 1) for a content with copies. A pair is listed once, the content with the least
-doc_id first.
-
-Defined results: null and empty texts, or those of punctuation only, have no n-gram and join nothing; a text of fewer
-than n words is one gram. Repeated rows are copies of their own (the id is listed once for each); rows that
+Results: classes() has a row for each document, (doc_id, class_id, links): the least doc_id that it is connected with
+(its own if there is none) and the number of other documents whose similarity with it reaches the threshold, copies
+included. A block of verified pairs sends on only these counts and links that keep its contents connected, and copies of
+a content are counted, never listed: rows grow with the documents, not with the pairs. pairs() has the exact pairs of
+class representatives (the least doc_id of each content), membership() the representative of each document.
+
+Defined results: null and empty texts, or those of punctuation only, have no n-gram and join nothing (class_id their own,
+links 0); a text of fewer than n words is one gram. Repeated rows are copies of their own, a row each; rows that
 repeat a doc_id with another text belong to the content of that text. Rows without doc_id are left out. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,12 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, normal_bytes, shingle_set, shuffle_parts, word_hashes, written
+from .common import drop, mix64, normal_bytes, shingle_set, shuffle_parts, word_hashes, written
 
 N, THRESHOLD, WORDS, LOAD, STRICT, BLOCK = 3, 0.6, 48, 5.0, 24, 1500
 RUN, RUN_BLOCK = 16, 4000
 MARKS = "doc_id long, n int, node long, low int, keys array<long>, sketch_low binary, sketch_high binary"
-PAIRS = "docs_a array<long>, docs_b array<long>, jaccard double"
 
 
 def size_band(n: int, t: float) -> int:
@@ -97,14 +98,18 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """A row for each document that has n-grams: the node of its set, its band, the keys and both sketches."""
+    """A row for each document that has an id: the node of its set, its band, the keys and both sketches; n is 0 and the
+    rest null where there is no n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 g = shingle_set(normal_bytes(text), n)
-                if i is None or not len(g):
+                if i is None:
+                    continue
+                if not len(g):
+                    rows.append((i, 0, None, None, None, None, None))
                     continue
                 low = size_band(len(g), t)
                 (k0, s0), (k1, s1) = sketch(g, low, t), sketch(g, low + 1, t)
@@ -233,7 +238,10 @@ def components(edges: DataFrame) -> DataFrame:
         own = least.select("u", F.col("m").alias("v"))
         rest = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(own.unionByName(rest).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        if new.exceptAll(e).isEmpty() and new.count() == e.count():
+        drop(large)
+        settled = new.exceptAll(e).isEmpty() and new.count() == e.count()
+        drop(e)
+        if settled:
             return new.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(new.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
         e = new
 
@@ -258,25 +266,28 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def contents(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(node, rep, docs) of every content, and the exact pairs (a, b, inter, union) of nodes that reach t."""
+def _verified(docs: DataFrame, n: int, t: float, emit: Callable, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The marks, and what emit makes of each block of pairs: of the rows' nodes, copies and set sizes, the places of the
+    block's rows and columns, the sizes of intersections and unions, and which pairs reach t."""
     m = written(marks(docs, n, t), "marks")
-    same = written(m.groupBy("node").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_list("doc_id")).alias("docs")), "contents")
-    found = written(runs(m), "runs")
-    side = m.select("node", "n", "low", "sketch_low", "sketch_high").dropDuplicates(["node"])
+    some = m.filter("n > 0")
+    found = written(runs(some), "runs")
+    side = some.select("node", "n", "low", "sketch_low", "sketch_high").dropDuplicates(["node"])
     near = near_links(found.filter("run is null").select("a", "b"), side, t)
     long = found.filter("run is not null").select("run", "a")
     if not long.isEmpty():
         near = near.unionByName(near_in_runs(long, side, t))
     comp = written(components(near), "components")
+    drop(found)
     size = comp.groupBy("comp").agg(F.count("*").alias("members"))
     place = comp.join(size, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     place = place.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumnRenamed("doc_id", "node")
-    place = written(place.join(same.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id"), "comp", "blocks", "block"), "places")
+    same = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    place = written(place.join(same, "node").select("node", "doc_id", "copies", "comp", "blocks", "block"), "places")
     # texts move only of contents in components, once for each pair of blocks that needs them
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(place, "doc_id")
     other = F.expr("explode(sequence(0, blocks - 1))")
-    sent = text.select("doc_id", "node", "comp", "block", other.alias("o"), "text").select("doc_id", "node", "comp", "text", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    sent = text.select("doc_id", "node", "copies", "comp", "block", other.alias("o"), "text").select("doc_id", "node", "copies", "comp", "text", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         i, j = b.i.iloc[0], b.j.iloc[0]
@@ -285,48 +296,75 @@ def contents(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFra
             own = [len(s := shingle_set(normal_bytes(x), n)) > 0 and node_of(s) == k for x, k in zip(b.text, b.node, strict=True)]
             b = b[own].drop_duplicates("node")
         sets = [shingle_set(normal_bytes(x), n) for x in b.text]
-        ids, blk, size = b.node.to_numpy(), b.block.to_numpy(), np.array([len(s) for s in sets])
+        blk, size = b.block.to_numpy(), np.array([len(s) for s in sets])
         p, q = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": [], "inter": [], "uni": []}, dtype=np.int64)
-        inter = _overlaps([sets[k] for k in p], [sets[k] for k in q]).astype(np.int64)
+        inter = _overlaps([sets[k] for k in p], [sets[k] for k in q]).astype(np.int64) if len(p) and len(q) else np.zeros((len(p), len(q)), np.int64)
         union = size[p][:, None] + size[q][None, :] - inter
         hit = inter >= t * union - 1e-9
         if i == j:
             hit &= p[:, None] < q[None, :]
-        x, y = np.nonzero(hit)
-        u, v = np.minimum(p[x], q[y]), np.maximum(p[x], q[y])  # rows are in order of (doc_id, node)
-        return pd.DataFrame({"a": ids[u], "b": ids[v], "inter": inter[x, y], "uni": union[x, y]})
+        return emit(b.node.to_numpy(), b.copies.to_numpy(), p, q, inter, union, hit)
+
+    return m, sent.groupBy("comp", "i", "j").applyInPandas(run, kind)
+
+
+def _listed(node: np.ndarray, copies: np.ndarray, p: np.ndarray, q: np.ndarray, inter: np.ndarray, union: np.ndarray, hit: np.ndarray) -> pd.DataFrame:
+    x, y = np.nonzero(hit)
+    u, v = np.minimum(p[x], q[y]), np.maximum(p[x], q[y])  # rows are in order of (doc_id, node)
+    return pd.DataFrame({"a": node[u], "b": node[v], "inter": inter[x, y], "uni": union[x, y]})
+
+
+def _counted(node: np.ndarray, copies: np.ndarray, p: np.ndarray, q: np.ndarray, inter: np.ndarray, union: np.ndarray, hit: np.ndarray) -> pd.DataFrame:
+    """(a, b, links): of each node its documents' links in this block, and a node that it is connected with in it."""
+    links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+    np.add.at(links, p, hit @ copies[q])
+    np.add.at(links, q, copies[p] @ hit)
+    for x, row in zip(p, hit, strict=True):
+        near = q[row]
+        near = near[root[near] != root[x]]
+        if len(near):
+            old = np.unique(np.append(root[near], root[x]))
+            root[np.isin(root, old)] = old[0]
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"a": node[some], "b": node[root[some]], "links": links[some]})
+
 
-    return same, sent.groupBy("comp", "i", "j").applyInPandas(run, "a long, b long, inter long, uni long")
+def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard): all pairs of class representatives whose contents differ and reach t."""
+    m, found = _verified(docs, n, t, _listed, "a long, b long, inter long, uni long")
+    rep = lambda x: m.filter("n > 0").groupBy(F.col("node").alias(x)).agg(F.min("doc_id").alias(f"doc_id_{x}"))
+    return found.join(rep("a"), "a").join(rep("b"), "b").select("doc_id_a", "doc_id_b", F.round(F.col("inter") / F.col("uni"), 6).alias("jaccard"))
 
 
-def join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """All pairs of contents with Jaccard similarity of at least t, and the contents with copies."""
-    same, pairs = contents(docs, n, t)
-    a, b = same.select(F.col("node").alias("a"), F.col("docs").alias("docs_a")), same.select(F.col("node").alias("b"), F.col("docs").alias("docs_b"))
-    near = pairs.join(a, "a").join(b, "b").select("docs_a", "docs_b", F.round(F.col("inter") / F.col("uni"), 6).alias("jaccard"))
-    return near.unionByName(same.filter("size(docs) > 1").select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard")))
+def membership(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, rep): the representative of each document's content."""
+    m = written(marks(docs, n, t).select("doc_id", "node", "n"), "marks").filter("n > 0")
+    return m.join(m.groupBy("node").agg(F.min("doc_id").alias("rep")), "node").select("doc_id", "rep")
 
 
-def _members(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """(doc_id, node, keeper) of each document that has a near or exact copy."""
-    same, pairs = contents(docs, n, t)
-    comp = written(components(pairs.select("a", "b")), "groups").withColumnRenamed("doc_id", "node")
-    least = comp.join(same, "node").groupBy("comp").agg(F.min("rep").alias("least"))
-    member = same.join(comp.join(least, "comp"), "node", "left").filter("comp is not null or size(docs) > 1")
-    return member.select(F.explode("docs").alias("doc_id"), "node", F.coalesce("least", "rep").alias("keeper"))
+def _classes(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(doc_id, node, class_id, links, linked) of each row with an id."""
+    m, found = _verified(docs, n, t, _counted, "a long, b long, links long")
+    found = written(found, "links")
+    comp = written(components(found.select("a", "b")), "groups").withColumnRenamed("doc_id", "node")
+    same = m.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("near"))
+    info = written(same.join(comp, "node", "left").join(links, "node", "left").filter("comp is not null or copies > 1"), "contents")
+    least = info.filter("comp is not null").groupBy("comp").agg(F.min("rep").alias("least"))
+    info = info.join(least, "comp", "left").select("node", F.coalesce("least", "rep").alias("c"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("l"))
+    # a content of very many copies is one row of info: the side of the documents may be split
+    return m.select("doc_id", "node").join(info, "node", "left").select("doc_id", "node", F.coalesce("c", "doc_id").alias("class_id"), F.coalesce("l", F.lit(0)).cast("long").alias("links"))
 
 
-def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(doc_id, keeper): for each document with a near or exact copy the least doc_id it is connected with."""
-    return _members(docs, n, t).select("doc_id", "keeper")
+def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of each document: the least doc_id it is connected with, and how many others reach t."""
+    return _classes(docs, n, t).select("doc_id", "class_id", "links")
 
 
 def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """The documents without all but one of each group of copies: the least doc_id stays. Of rows that repeat an id those
     go whose own text has a copy of a lesser id."""
-    gone = _members(docs, n, t).filter("doc_id <> keeper").groupBy(F.col("doc_id").alias("i")).agg(F.collect_set("node").alias("nodes"))
+    gone = _classes(docs, n, t).filter("doc_id <> class_id").groupBy(F.col("doc_id").alias("i")).agg(F.collect_set("node").alias("nodes"))
     gone = written(gone.join(docs.groupBy(F.col("doc_id").alias("i")).agg(F.count("*").alias("rows")), "i"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("i"))
 
@@ -348,4 +386,4 @@ def brute_force(ids: list[int], texts: list[str | None], n: int = N, t: float =
     return {(min(i, j), max(i, j)) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and len(a & b) >= t * len(a | b) - 1e-9}
 
 
-__all__ = ["brute_force", "groups", "join", "keep_one", "sketch", "word_hashes"]
+__all__ = ["brute_force", "classes", "keep_one", "membership", "pairs", "sketch", "word_hashes"]

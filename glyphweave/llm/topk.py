@@ -1,9 +1,10 @@
-"""Exact top-k inner-product search with ball trees, every vector a query.
+"""Exact top-k inner-product search with ball trees: a stated set of queries against all rows.
 
 Vectors are dealt to shards; each shard holds a ball tree. A block of queries goes down a tree together: at a node of
 centre c and radius r no inner product exceeds q.c + |q| r, so queries whose k-th score lies above that leave, and the
-child with the larger bound is visited first. Each block first searches its own shard and so has a k-th score before it
-meets others, and carries the k-th score it has from shard to shard within a task.
+child with the larger bound is visited first. Each query first searches its own shard and so has a k-th score before it
+meets others; a block of queries carries its k-th scores from shard to shard within a task, so each shard is searched with
+the best bound so far. A task holds one block of queries and one tree at a time, whatever the table's size.
 
 Scores are rounded to 6 digits and ties go to the lower id, so that results don't depend on the order of summation.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 K, SHARD_ROWS, LEAF = 10, 4096, 128
+#: The queries are the rows whose id is divisible by EVERY; so many of them form a block, so many blocks or trees a partition.
+EVERY, QUERY_ROWS, SPAN = 50, 1024, 64
 EPS = 1e-6
 
 
@@ -60,12 +63,14 @@ def fresh(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
 
-def search(tree: dict, qid: np.ndarray, q: np.ndarray, score: np.ndarray, who: np.ndarray) -> int:
-    """Betters the results (in place, best first) by the tree's rows; returns the inner products it computed."""
+def search(tree: dict, qid: np.ndarray, q: np.ndarray, score: np.ndarray, who: np.ndarray, some: np.ndarray | None = None) -> int:
+    """Betters the results (in place, best first) of the queries at some places (all if None) by the tree's rows; returns
+    the inner products it computed."""
     if not tree["nodes"]:
         return 0
     norm, k, done = np.sqrt((q**2).sum(axis=1)), score.shape[1], 0
-    stack = [(0, np.arange(len(q)), np.full(len(q), np.inf))]
+    some = np.arange(len(q)) if some is None else some
+    stack = [(0, some, np.full(len(some), np.inf))]
     while stack:
         node, act, bound = stack.pop()
         act = act[bound + EPS >= score[act, -1]]
@@ -73,7 +78,7 @@ def search(tree: dict, qid: np.ndarray, q: np.ndarray, score: np.ndarray, who: n
             continue
         lo, hi, left, right = tree["nodes"][node]
         if left < 0:
-            s = np.round(q[act] @ tree["x"][lo:hi].T, 6)
+            s = np.round(q[act] @ tree["x"][lo:hi].astype(np.float64).T, 6)
             done += s.size
             ids = tree["ids"][lo:hi]
             s[qid[act][:, None] == ids[None, :]] = -np.inf
@@ -111,41 +116,58 @@ def clean(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return d.filter(F.size("v") == (sizes[0].s if sizes else 0))
 
 
-def top_k(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, neighbour_id, score) for every vector."""
+def top_k(df: DataFrame, k: int = K, every: int = EVERY, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, neighbour_id, score) for every vector whose id is divisible by every, against all vectors."""
     d = clean(df, id_col, vector_col)
-    shards = max(1, -(-d.count() // shard_rows))
+    rows = d.count()
+    shards = max(1, -(-rows // shard_rows))
+    blocks = max(1, -(-rows // (every * QUERY_ROWS)))
+    state = "ids binary, home binary, x binary, s binary, w binary"
 
     def plant(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("id").sort_values("id")
-        tree = build(b.id.to_numpy(), _matrix(b.v.tolist()))
-        s, w = fresh(len(b), k)
-        search(tree, tree["ids"], tree["x"], s, w)  # its own shard first
-        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree)], "s": [s.tobytes()], "w": [w.tobytes()]})
-
-    trees = written(d.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInPandas(plant, "shard long, tree binary, s binary, w binary"), "ball-trees")
-    # every query block meets every shard: a grid of tasks; within a task a block's k-th score goes from shard to shard
-    grid = min(shards, 64)
-    q = trees.repartition(grid, "shard").select(F.col("shard").alias("i"), F.col("tree").alias("q"), "s", "w")
-    base = trees.repartition(max(1, grid // 4), "shard").select(F.col("shard").alias("j"), F.col("tree").alias("t"))
+        ids, x = b.id.to_numpy(), _matrix(b.v.tolist())
+        tree = build(ids, x)
+        if (tree["x"].astype(np.float32) == tree["x"]).all():
+            tree["x"] = tree["x"].astype(np.float32)
+        ask = ids % every == 0
+        s, w = fresh(int(ask.sum()), k)
+        search(tree, ids[ask], x[ask], s, w)  # its own shard first
+        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(tree)], "ids": [ids[ask].tobytes()], "home": [np.full(len(s), key[0], np.int64).tobytes()], "x": [x[ask].tobytes()], "s": [s.tobytes()], "w": [w.tobytes()]})
+
+    def unite(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], **{c: [b"".join(b[c])] for c in ("ids", "home", "x", "s", "w")}})
+
+    trees = written(d.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInPandas(plant, f"shard long, tree binary, {state}"), "ball-trees")
+    asked = trees.select(F.pmod("shard", F.lit(blocks)).alias("block"), "ids", "home", "x", "s", "w").groupBy("block").applyInPandas(unite, f"block long, {state}")
+    asked = written(asked.filter("length(ids) > 0"), "queries")
+    # every block of queries meets every tree: a grid of tasks, as many as blocks times shards ask for
+    least = min(shards, max(8, df.sparkSession.sparkContext.defaultParallelism))
+    q = asked.repartition(-(-blocks // SPAN), "block")
+    base = trees.select("shard", "tree").repartition(max(least, -(-shards // SPAN)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-        for b in batches:
-            for r in range(b.num_rows):
-                i, j = b.column(0)[r].as_py(), b.column(4)[r].as_py()
-                if i not in held:
-                    tree = pickle.loads(b.column(1)[r].as_py())
-                    s = np.frombuffer(b.column(2)[r].as_py()).reshape(-1, k).copy()
-                    w = np.frombuffer(b.column(3)[r].as_py(), np.int64).reshape(-1, k).copy()
-                    held[i] = (tree["ids"], tree["x"], s, w)
-                if i != j:
-                    search(pickle.loads(b.column(5)[r].as_py()), *held[i])
-        for ids, _, s, w in held.values():
+        block, ids, home, x, s, w = (None,) * 6
+
+        def found() -> pa.RecordBatch:
             ok = s > -np.inf
-            n = ok.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(w[ok]), pa.array(s[ok])], names=["query_id", "neighbour_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(w[ok]), pa.array(s[ok])], names=["query_id", "neighbour_id", "score"])
 
-    found = q.crossJoin(base).mapInArrow(run, "query_id long, neighbour_id long, score double").distinct()
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "neighbour_id"))), 1, k).alias("b"))
+        for b in batches:
+            for r in range(b.num_rows):
+                if (now := b.column(0)[r].as_py()) != block:
+                    if block is not None:
+                        yield found()
+                    block, ids = now, np.frombuffer(b.column(1)[r].as_py(), np.int64)
+                    home = np.frombuffer(b.column(2)[r].as_py(), np.int64)
+                    x = np.frombuffer(b.column(3)[r].as_py()).reshape(len(ids), -1)
+                    s = np.frombuffer(b.column(4)[r].as_py()).reshape(-1, k).copy()
+                    w = np.frombuffer(b.column(5)[r].as_py(), np.int64).reshape(-1, k).copy()
+                search(pickle.loads(b.column(7)[r].as_py()), ids, x, s, w, np.flatnonzero(home != b.column(6)[r].as_py()))
+        if block is not None:
+            yield found()
+
+    # every task gives the rows of the queries' own shards: repeats go, and the best k of all tasks stay
+    got = q.crossJoin(base).mapInArrow(run, "query_id long, neighbour_id long, score double").distinct()
+    best = got.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "neighbour_id"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.neighbour_id").alias("neighbour_id"), (-F.col("x.m")).alias("score"))

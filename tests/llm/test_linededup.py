@@ -58,6 +58,16 @@ def test_dedup_against_brute_force_and_edges(spark):
     assert by[20].text == "one\ntwo\n\nthree " and by[21].text == "four"
 
 
+def test_redelivery_against_brute_force(spark):
+    """Every tenth document comes first, is taken out and comes again as the last."""
+    rows = [(i, "\n".join(f"line {(i * k) % 29}" for k in range(1, 7)), "en", "s", 1) for i in range(1, 60)] + [(60, None, "en", "s", 1), (61, "", "en", "s", 0)]
+    got = L.redelivered(table(spark, rows), L.F.col("doc_id") % 10 == 0)
+    order = sorted(rows, key=lambda r: (r[0] % 10 == 0, r[0]))
+    want = brute([(k, r[1]) for k, r in enumerate(order)])
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text is not None) == sorted((order[k][0], t) for k, t in want if t is not None)
+    assert got.count() == len(rows) and L.redelivered(empty(spark), L.F.lit(True)).count() == 0
+
+
 def test_empty_table(spark):
     index, got = L.dedup(empty(spark))
     assert got.count() == 0

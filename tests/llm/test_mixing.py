@@ -17,7 +17,7 @@ def brute(rows, alpha=mixing.ALPHA, seed=mixing.SEED):
     out = Counter()
     for r in rows:
         n = tokens[r[3]]
-        rate = round(w[r[3]] / n / least, 6) if n else 0.0
+        rate = round(w[r[3]] / n / least, 6) if n else 1.0
         u = int(hashlib.md5(f"{seed}:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16) / 2**32
         k = math.floor(rate) + (u < rate - math.floor(rate))
         out[(r[0], r[1])] += k
@@ -51,3 +51,16 @@ def test_clashes_and_empty(spark):
     assert got.columns == d.columns
     e = empty(spark)
     assert mixing.mix(e, mixing.source_rates(e)).count() == 0
+
+
+def test_a_source_without_tokens_keeps_its_documents(spark):
+    rows = [(1, "a b", "en", "x", 3), (2, None, "en", "e", None), (3, "", "en", "e", 0), (4, " \n", "en", "e", 2)]
+    d = table(spark, rows)
+    assert sorted(r.doc_id for r in mixing.mix(d, mixing.source_rates(d)).collect()) == [1, 2, 3, 4]
+    assert [r.doc_id for r in mixing.mix(d, mixing.source_rates(d, {"x": 1.0}, budget=2)).collect()] == [1]
+
+
+def test_tokens_from_a_column(spark):
+    d = table(spark, [(1, "a", "en", "x", 30), (2, "b", "en", "y", 10)])
+    got = {r.source: (r.tokens, r.rate) for r in mixing.source_rates(d, {"x": 1.0, "y": 1.0}, budget=40, tokens_col="n_chars").collect()}
+    assert got == {"x": (30, round(20 / 30, 6)), "y": (10, 2.0)}

@@ -20,19 +20,34 @@ def corpus(seed=0, docs=120):
     return rows
 
 
-def pairs(df):
-    out = set()
-    for r in df.collect():
-        for a in r.docs_a:
-            for b in r.docs_b:
-                if a != b:
-                    out.add((min(a, b), max(a, b)))
-    return out
+def pairs(docs):
+    """All pairs of documents, from the pairs of representatives and the membership."""
+    of = {}
+    for r in J.membership(docs).collect():
+        of.setdefault(r.rep, []).append(r.doc_id)
+    near = [(r.doc_id_a, r.doc_id_b) for r in J.pairs(docs).collect()] + [(r, r) for r in of]
+    return {(min(a, b), max(a, b)) for x, y in near for a in of[x] for b in of[y] if a != b}
+
+
+def expected_classes(ids, want):
+    """(class_id, links) of each id from the pairs of a brute-force version."""
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        links[a], links[b] = links[a] + 1, links[b] + 1
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in ids}
 
 
 def test_recall_and_precision_against_brute_force(spark):
     rows = corpus()
-    got, want = pairs(J.join(table(spark, rows))), J.brute_force([r[0] for r in rows], [r[1] for r in rows])
+    got, want = pairs(table(spark, rows)), J.brute_force([r[0] for r in rows], [r[1] for r in rows])
     assert len(want) > 60 and got <= want
     assert len(got & want) >= 0.97 * len(want)
 
@@ -48,44 +63,40 @@ def test_hamming_bounds_symmetric_difference():
         assert h <= len(np.setxor1d(a, b))
 
 
-def test_groups_keep_one(spark):
+def test_classes_and_keep_one_against_brute_force(spark):
     rows = corpus(3)
+    rows += [(1000 + k, rows[5][1].upper(), "en", "s", 1) for k in range(30)]  # a content of many copies
     d = table(spark, rows)
-    want = J.brute_force([r[0] for r in rows], [r[1] for r in rows])
-    root = {r[0]: r[0] for r in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in sorted(want):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    assert sorted(r.doc_id for r in J.keep_one(d).collect()) == sorted({find(x) for x in root})
+    want = expected_classes([r[0] for r in rows], J.brute_force([r[0] for r in rows], [r[1] for r in rows]))
+    got = {r.doc_id: (r.class_id, r.links) for r in J.classes(d).collect()}
+    assert got == want and want[1000][1] >= 30
+    assert sorted(r.doc_id for r in J.keep_one(d).collect()) == sorted({c for c, _ in want.values()})
 
 
 def test_blocks_find_the_same_pairs(spark, monkeypatch):
     rows = corpus(5, 60)
-    whole = pairs(J.join(table(spark, rows)))
+    whole = pairs(table(spark, rows))
+    classes = sorted(map(tuple, J.classes(table(spark, rows)).collect()))
     monkeypatch.setattr(J, "BLOCK", 2)
-    assert pairs(J.join(table(spark, rows))) == whole
+    assert pairs(table(spark, rows)) == whole
+    assert sorted(map(tuple, J.classes(table(spark, rows)).collect())) == classes
 
 
 def test_edges(spark):
     d = clashing(edges(spark))
-    got = J.join(d).collect()
-    assert [(list(r.docs_a), list(r.docs_b), r.jaccard) for r in got] == [([1, 7, 7], [1, 7, 7], 1.0)]
+    got = sorted(map(tuple, J.classes(d).collect()))
+    assert got == [(1, 1, 2), (2, 2, 0), (3, 3, 0), (5, 5, 0), (6, 6, 0), (7, 1, 2), (7, 1, 2), (8, 8, 0), (9, 9, 0), (10, 10, 0)]
+    assert J.pairs(d).count() == 0 and sorted(map(tuple, J.membership(d).collect())) == [(1, 1), (5, 5), (6, 6), (7, 1), (7, 1), (10, 10)]
     kept = J.keep_one(d)
     assert kept.columns == d.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 7 not in ids and 1 in ids and None in ids and len(ids) == 9
-    assert J.join(empty(spark)).count() == 0 and J.keep_one(empty(spark)).count() == 0
+    assert J.classes(empty(spark)).count() == J.pairs(empty(spark)).count() == J.membership(empty(spark)).count() == 0 and J.keep_one(empty(spark)).count() == 0
 
 
 def test_short_texts_are_one_gram(spark):
     rows = [(1, "Two words", "en", "s", 1), (2, "two, WORDS!", "en", "s", 1), (3, "two", "en", "s", 1), (4, EN, "en", "s", 1)]
-    assert pairs(J.join(table(spark, rows))) == {(1, 2)}
+    assert pairs(table(spark, rows)) == {(1, 2)}
     assert len(shingle_set(normal_bytes("two"), 3)) == 1
 
 
@@ -122,22 +133,22 @@ def test_pairs_within_a_passage_that_thousands_share(spark):
             rows.append((i + 5000, " ".join(passage + own[:14] + fresh(21)), "en", "s", 1))
             planted.add((i, i + 5000))
         i += 1
-    got = pairs(J.join(table(spark, rows)))
+    got = pairs(table(spark, rows))
     want = {(min(a, b), max(a, b)) for a, b in planted}
     assert got <= want and len(got) >= 0.96 * len(want)
 
 
 def test_long_runs_in_blocks(spark, monkeypatch):
     rows = corpus(6, 80)
-    whole = pairs(J.join(table(spark, rows)))
+    whole = pairs(table(spark, rows))
     monkeypatch.setattr(J, "RUN", 1)
     monkeypatch.setattr(J, "RUN_BLOCK", 2)
-    assert pairs(J.join(table(spark, rows))) == whole
+    assert pairs(table(spark, rows)) == whole
 
 
 def test_a_repeated_id_with_another_text(spark):
     other = " ".join(f"y{k}" for k in range(40))
     rows = [(1, EN, "en", "s", 1), (2, other, "en", "s", 1), (7, EN + " too", "en", "s", 1), (7, other + " too", "en", "s", 1), (7, "a text of its own here", "en", "s", 1)]
-    assert pairs(J.join(table(spark, rows))) == {(1, 7), (2, 7)}
+    assert pairs(table(spark, rows)) == {(1, 7), (2, 7)}
     kept = sorted((r.doc_id, r.text) for r in J.keep_one(table(spark, rows)).collect())
     assert kept == [(1, EN), (2, other), (7, "a text of its own here")]

@@ -51,5 +51,26 @@ def test_edges(spark):
 
 def test_many_splitters(spark):
     cuts = list(range(0, 60000, 100))
-    d = spark.range(-50, 60100, 37).withColumn("s", sharding.shard_of(sharding.F.col("id"), cuts))
+    d = spark.range(-50, 60100, 37).withColumn("s", sharding.shard_of(spark, sharding.F.col("id"), cuts))
     assert all(r.s == sum(c <= r.id for c in cuts) for r in d.collect())
+
+
+def test_a_hundred_thousand_splitters_with_few_probes(monkeypatch):
+    monkeypatch.setattr(sharding, "ALL_PROBES", 1 << 15)
+    rng = np.random.default_rng(0)
+    keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 400_000), [-(2**63), 2**63 - 1]]))
+    upto = np.cumsum(rng.integers(1, 50, len(keys)))
+    goal = upto[-1] * np.arange(1, 100_001) // 100_001
+    calls = []
+
+    def below(probes):
+        calls.append(len(probes))
+        return np.concatenate(([0], upto))[np.searchsorted(keys, probes, side="left")]
+
+    got = sharding.refine(int(keys[0]), int(keys[-1]), goal, 0.0, below)
+    assert (got == keys[np.searchsorted(upto, goal, side="right")]).all()
+    assert max(calls) <= 100_000 and len(calls) < 80
+
+
+def test_texts_without_bytes(spark):
+    assert {r.shard for r in sharding.shard(table(spark, [(i, "", "en", "s", 0) for i in range(5)]), shards=3).collect()} == {0}

@@ -14,7 +14,7 @@ def brute(ids, x, k):
 
 def got(df, **kw):
     out = {}
-    for r in topk.top_k(df, **kw).collect():
+    for r in topk.top_k(df, **({"every": 1} | kw)).collect():
         out.setdefault(r.query_id, []).append((r["rank"], r.neighbour_id, r.score))
     return {q: [(b, s) for _, b, s in sorted(v)] for q, v in out.items()}
 
@@ -49,3 +49,14 @@ def test_edges(spark):
     d = spark.createDataFrame([(*r, 1, 1, 1) for r in rows], "vec_id long, embedding array<float>, id int, v int, shard int")
     assert got(d, k=5) == {1: [(2, 0.5), (8, 0.0)], 2: [(1, 0.5), (8, 0.0)], 8: [(1, 0.0), (2, 0.0)]}
     assert topk.top_k(d.limit(0)).count() == 0
+
+
+def test_a_stated_query_set_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "SPAN", 2)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    d = spark.createDataFrame([(i, x[i].tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    want = brute(range(400), x, 4)
+    have = got(d, k=4, every=20, shard_rows=30)
+    assert {q: [b for b, _ in v] for q, v in have.items()} == {q: [b for b, _ in want[q]] for q in range(0, 400, 20)}
