@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mix64, normal_bytes, shingle_set, shuffle_parts, word_hashes, written
+from .common import drop, mix64, normal_bytes, shingle_set, shuffle_parts, small, word_hashes, written
 
 N, THRESHOLD, WORDS, LOAD, STRICT, BLOCK = 3, 0.6, 48, 5.0, 24, 1500
 RUN, RUN_BLOCK = 16, 4000
@@ -284,8 +284,9 @@ def _verified(docs: DataFrame, n: int, t: float, emit: Callable, kind: str) -> t
     place = place.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumnRenamed("doc_id", "node")
     same = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     place = written(place.join(same, "node").select("node", "doc_id", "copies", "comp", "blocks", "block"), "places")
-    # texts move only of contents in components, once for each pair of blocks that needs them
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(place, "doc_id")
+    # texts move only of contents in components, once for each pair of blocks that needs them; beyond small()'s bound all
+    # texts are shuffled once to find these
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(place), "doc_id")
     other = F.expr("explode(sequence(0, blocks - 1))")
     sent = text.select("doc_id", "node", "copies", "comp", "block", other.alias("o"), "text").select("doc_id", "node", "copies", "comp", "text", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
 
@@ -372,7 +373,7 @@ def keep_one(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     def node(texts: pd.Series) -> pd.Series:
         return pd.Series([node_of(s) if len(s := shingle_set(normal_bytes(x), n)) else None for x in texts], dtype="Int64")
 
-    left = rows.join(gone.select("i"), "i", "left_anti").select("row.*")
+    left = rows.join(small(gone.select("i")), "i", "left_anti").select("row.*")
     repeated = gone.filter("rows > 1")
     if repeated.isEmpty():
         return left
