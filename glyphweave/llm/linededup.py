@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import drop_path, mix64, work_dir, written
 
-SLOTS = 4
+SLOTS, FULL = 4, 0.96
 SHARD_LINES = 1_000_000
 _TRIM = " \t\r\x0b\x0c"
 
@@ -83,9 +83,11 @@ class CuckooFilter:
         return done
 
     def add(self, h: np.ndarray) -> bool:
-        """False if it got too full: the caller rebuilds it larger."""
+        """False if it got too full: the caller rebuilds it larger. What can't fit isn't tried."""
         if not len(h):
             return True
+        if np.count_nonzero(self.table) + len(h) > FULL * self.table.size:
+            return False
         f, a, b = self._spots(h)
         left = ~self._place(f, a)
         f, b = f[left], b[left]

@@ -105,3 +105,11 @@ def test_no_lines(spark, rows):
 def test_edges_keep_columns(spark):
     d = edges(spark)
     assert L.dedup(d)[1].columns == [*d.columns, "lines_in", "lines_kept"]
+
+
+def test_a_filter_refuses_what_can_not_fit():
+    c = L.CuckooFilter.sized(1000)
+    before = c.dump()
+    assert not c.add(np.arange(100_000, dtype=np.uint64)) and c.dump() == before
+    h = L.mix64(np.arange(3_000, dtype=np.uint64))
+    assert L.CuckooFilter.of(h).contains(h).all()
