@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .ranking import value_ranks
+
 CLASS_SCORES = ("macrof1", "macrorecall", "macrof1accuracy", "weightedf1", "accuracy", "avgf1", "geometricf1", "harmonicf1")
 VALUE_SCORES = ("r2", "pearsonr", "spearmanr")
 
@@ -65,18 +68,22 @@ def quadratic_kappa(conf: DataFrame) -> DataFrame:
     return seen.crossJoin(due).select(F.when(F.col("e") > 0, 1 - F.col("o") * F.col("t") / F.col("e")).alias("kappa"))
 
 
-def _average_rank(c: str) -> Column:
-    return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-
-
 def value_scores(rows: DataFrame, gold: str = "value", pred: str = "predicted", rank_target: bool = False) -> DataFrame:
-    """(r2, pearsonr, spearmanr). rank_target scores the dense ranks of the gold values in their stead."""
-    y = F.dense_rank().over(Window.orderBy(gold)) - 1 if rank_target else F.col(gold)
-    d = rows.select(y.cast("double").alias("y"), F.col(pred).cast("double").alias("p"))
-    ranked = d.select("y", "p", _average_rank("y").alias("ry"), _average_rank("p").alias("rp"))
-    mean = d.agg(F.avg("y").alias("m"))
-    d2 = lambda a, b: F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
-    return ranked.crossJoin(F.broadcast(mean)).agg((1 - d2("y", "p") / d2("y", "m")).alias("r2"), F.corr("y", "p").alias("pearsonr"), F.corr("ry", "rp").alias("spearmanr"))
+    """(r2, pearsonr, spearmanr); null where a side doesn't vary. Rows without a gold value or a prediction are left out.
+    rank_target scores the dense ranks of the gold values in their stead. Equal pairs are counted before any is ranked."""
+    pairs = rows.select(F.col(gold).cast("double").alias("y"), F.col(pred).cast("double").alias("p")).filter("y is not null and p is not null")
+    pairs = stored(pairs.groupBy("y", "p").agg(F.count("*").alias("n")), "pairs")
+    ranks = lambda c: value_ranks(pairs.groupBy(c).agg(F.sum("n").alias("n")), c, "n", f"r{c}", f"{c}_place")
+    d = pairs.join(ranks("y"), "y").join(ranks("p"), "p")
+    d = d.select((F.col("y_place").cast("double") if rank_target else F.col("y")).alias("y"), "p", "ry", "rp", "n")
+    names = ("y", "p", "ry", "rp")
+    mean = d.agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m_{c}") for c in names])
+    c = {x: F.col(x) - F.col(f"m_{x}") for x in names}
+    total = lambda x: F.sum(x * F.col("n"))
+    corr = lambda a, b: F.try_divide(total(c[a] * c[b]), F.sqrt(total(c[a] * c[a]) * total(c[b] * c[b])))
+    off = F.col("y") - F.col("p")
+    # one row on the other side
+    return d.crossJoin(F.broadcast(mean)).agg((1 - F.try_divide(total(off * off), total(c["y"] * c["y"]))).alias("r2"), corr("y", "p").alias("pearsonr"), corr("ry", "rp").alias("spearmanr"))
 
 
 def mismatches(rows: DataFrame, gold: str = "klass", pred: str = "predicted") -> DataFrame:
@@ -98,4 +105,4 @@ def encoded(rows: DataFrame, label_col: str = "klass", out: str = "label") -> Da
     """Labels numbered from 0 in their order as strings. The table of labels is joined, not ranked over all rows."""
     k = F.col(label_col).cast("string")
     labels = rows.select(k.alias("_k")).filter("_k is not null").distinct().withColumn(out, F.row_number().over(Window.orderBy("_k")) - 1)
-    return rows.join(F.broadcast(labels), k == F.col("_k"), "left").drop("_k")
+    return rows.join(labels, k == F.col("_k"), "left").drop("_k")

@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TextConfig
-
-#: Terms up to which ids come from one window; beyond, from ranges and offsets.
-WINDOW_TERMS = 1_000_000
+from ..sources.tables import stored
+from .ranking import numbered, value_bucket
 
 
 def exploded(tokens: DataFrame, array: Column, *keep: str) -> DataFrame:
@@ -50,20 +49,20 @@ def most_frequent(df: DataFrame, k: int) -> DataFrame:
     return df.orderBy(F.desc("df"), "token").limit(k)
 
 
-def with_ids(df: DataFrame, terms: int | None = None) -> DataFrame:
-    """token_id 0, 1, ... in order of token. A large vocabulary is range-sorted and numbered partition by partition."""
-    if terms is None or terms <= WINDOW_TERMS:
-        return df.withColumn("token_id", F.row_number().over(Window.orderBy("token")) - 1)
-    ranged = df.repartitionByRange("token").sortWithinPartitions("token").withColumn("_m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    offset = sizes.withColumn("_o", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_o")
-    return ranged.join(F.broadcast(offset), "_p").withColumn("token_id", (F.col("_o") + F.col("_i")).cast("int")).drop("_m", "_p", "_i", "_o", "_n")
+def with_ids(df: DataFrame, bucket_rows: int | None = None) -> DataFrame:
+    """token_id 0, 1, ... in order of token, from ranges of tokens. df is read several times."""
+    ids = numbered(df, value_bucket(df, "token", df.count(), bucket_rows), [F.col("token")], "token_id")
+    return ids.withColumn("token_id", F.col("token_id").cast("int"))
 
 
 def vocabulary(tokens: DataFrame, cfg: TextConfig, n_docs: int, tokens_col: str = "tokens") -> DataFrame:
     """(token, df, token_id) after all filters of the configuration."""
-    df = drop_constant(doc_freq(tokens, tokens_col), n_docs)
+    return vocabulary_of(doc_freq(tokens, tokens_col), cfg, n_docs)
+
+
+def vocabulary_of(df: DataFrame, cfg: TextConfig, n_docs: int) -> DataFrame:
+    """The same from document frequencies."""
+    df = drop_constant(df, n_docs)
     if cfg.max_dimension:
         k = cfg.token_max_filter
         if k != int(k) or k <= 1:
@@ -71,7 +70,7 @@ def vocabulary(tokens: DataFrame, cfg: TextConfig, n_docs: int, tokens_col: str
         df = most_frequent(df, int(k))
     else:
         df = filter_counts(df, n_docs, cfg.token_min_filter, cfg.token_max_filter)
-    return with_ids(df)
+    return with_ids(stored(df, "terms"))
 
 
 @dataclass
@@ -107,5 +106,5 @@ class Counter:
 
     def weights(self) -> DataFrame:
         """(token, df, token_id, weight): a vocabulary of all tokens, constant ones with weight 0 included."""
-        v = with_ids(self.counts.withColumnRenamed("n", "df"))
+        v = with_ids(stored(self.counts.withColumnRenamed("n", "df"), "terms"))
         return v.withColumn("weight", F.log2(F.lit(float(self.update_calls))) - F.log2("df"))
