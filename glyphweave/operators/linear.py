@@ -2,7 +2,8 @@
 
 The objective is that of the usual linear SVM: half the squared weights plus C times the squared hinge loss over all
 rows, one class against the rest, with the bias as a weight; the regressor has the absolute loss (rounded within 0.01).
-Each step of L-BFGS sums the gradient over partitions in numpy; the driver holds parameters and gradients only.
+Rows are written once as blocks of arrays. Each step of L-BFGS sums loss and gradient over the blocks in numpy, adds the
+partitions' sums up in Spark, and fetches one gradient; the driver never holds rows.
 """
 
 from __future__ import annotations
@@ -12,12 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries up to which a training set is fetched once and the same sums are taken on the driver.
-LOCAL_ENTRIES = 3_000_000
+from ..sources.tables import stored
+
+#: Entries in a partition of training rows, about, and numbers of a gradient that are summed up together.
+PART_ENTRIES, SLICE = 4_000_000, 1 << 20
 SOFT = 0.01
+#: Most labels a classifier takes: one output and one column of weights for each.
+MOST_LABELS = 10_000
 
 
 @dataclass
@@ -30,13 +37,21 @@ class Rows:
     y: np.ndarray
 
     @classmethod
-    def of(cls, b: pd.DataFrame, width: int) -> Rows:
-        n = b.ids.map(len).to_numpy()
-        r = np.repeat(np.arange(len(b)), n)
-        c = np.concatenate([np.asarray(x, np.int64) for x in b.ids]) if len(b) else np.zeros(0, np.int64)
-        v = np.concatenate([np.asarray(x, float) for x in b.vals]) if len(b) else np.zeros(0)
-        ok = np.isfinite(v) & (c < width)  # unseen or broken entries don't count
-        return cls(r[ok], c[ok], v[ok], b.y.to_numpy())
+    def of(cls, ids: pa.Array, vals: pa.Array, y: np.ndarray, width: int) -> Rows:
+        """From lists of columns and values; unseen or broken entries don't count."""
+        r = np.repeat(np.arange(len(ids)), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
+        c = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        v = vals.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False)
+        ok = np.isfinite(v) & (c < width) & (c >= 0)
+        return cls(r[ok], c[ok], v[ok], y)
+
+    def dump(self) -> dict[str, list[bytes]]:
+        return {"r": [self.r.astype(np.int32).tobytes()], "c": [self.c.astype(np.int32).tobytes()], "v": [self.v.tobytes()], "y": [self.y.astype(float).tobytes()]}
+
+    @classmethod
+    def load(cls, b: pa.RecordBatch, i: int) -> Rows:
+        kinds = (np.int32, np.int32, np.float64, np.float64)
+        return cls(*[np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in enumerate(kinds)])
 
     def times(self, w: np.ndarray) -> np.ndarray:
         out = np.empty((len(self.y), w.shape[1]))
@@ -101,6 +116,30 @@ def lbfgs(fun: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray,
     return w.reshape(shape)
 
 
+def _ids(vec: str) -> Column:
+    return F.transform(vec, lambda p: p["token_id"])
+
+
+def _vals(vec: str) -> Column:
+    return F.transform(vec, lambda p: p["value"])
+
+
+def packed(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The training rows as blocks of arrays, and the number of partitions they are in."""
+    entries, n = rows.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)), F.count("*")).first()
+    if not n:
+        raise ValueError("nothing to learn from: no rows")
+    parts = max(1, -(-entries // PART_ENTRIES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_pydict(Rows.of(b.column(0), b.column(1), b.column(2).to_numpy(), width).dump())
+
+    d = rows.select(_ids("vec").alias("ids"), _vals("vec").alias("vals"), F.col("y").cast("double").alias("y"))
+    return stored(d.coalesce(1) if parts == 1 else d.repartition(parts), "vectors").mapInArrow(run, "r binary, c binary, v binary, y binary"), parts
+
+
 @dataclass
 class LinearModel:
     """weights: (width + 1, outputs), the last row the biases; labels: the classes, None for a regressor."""
@@ -111,60 +150,74 @@ class LinearModel:
     @classmethod
     def fit(cls, rows: DataFrame, width: int, labels: list[str] | None, c: float = 1.0) -> LinearModel:
         """rows: (vec, y), vec as as_vectors() makes it; y the number of the class or the target."""
-        d = rows.select(F.transform("vec", lambda p: p["token_id"]).alias("ids"), F.transform("vec", lambda p: p["value"]).alias("vals"), F.col("y").cast("double").alias("y"))
         classes = None if labels is None else len(labels)
+        if classes is not None and not 2 <= classes <= MOST_LABELS:
+            raise ValueError(f"nothing to learn from: {classes} classes")
         outputs = 1 if classes is None or classes <= 2 else classes
-        entries, n = d.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.count("*")).first()
-        if not n or (classes is not None and classes < 2):
-            raise ValueError("nothing to learn from: no rows, or fewer than two classes")
-        w = np.zeros((width + 1, outputs))
-        if entries <= LOCAL_ENTRIES:
-            x = Rows.of(d.toPandas(), width)
-            total = lambda w: _loss(x, w, classes)
-        else:
-            d = d.persist()
-
-            def total(w: np.ndarray) -> tuple[float, np.ndarray]:
-                shared = d.sparkSession.sparkContext.broadcast(w)
-
-                def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                    f, g = 0.0, np.zeros_like(shared.value)
-                    for b in batches:
-                        fb, gb = _loss(Rows.of(b, width), shared.value, classes)
-                        f, g = f + fb, g + gb
-                    yield pd.DataFrame({"f": [f], "g": [g.tobytes()]})
-
-                got = d.mapInPandas(run, "f double, g binary").toLocalIterator()
-                f, g = 0.0, np.zeros_like(w)
-                for r in got:
-                    f, g = f + r.f, g + np.frombuffer(r.g).reshape(w.shape)
-                shared.destroy()
-                return f, g
+        blocks, parts = packed(rows, width)
+        blocks = stored(blocks, "blocks")
+        blocks = blocks.coalesce(1) if parts == 1 else blocks
+        context = rows.sparkSession.sparkContext
+
+        def total(w: np.ndarray) -> tuple[float, np.ndarray]:
+            shared = context.broadcast(w)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                f, g = 0.0, np.zeros_like(shared.value)
+                for b in batches:
+                    for i in range(b.num_rows):
+                        fb, gb = _loss(Rows.load(b, i), shared.value, classes)
+                        f += fb
+                        g += gb
+                flat = g.ravel()
+                for s, at in enumerate(range(0, len(flat), SLICE)):
+                    yield pa.RecordBatch.from_pydict({"s": [s], "f": [0.0 if s else f], "g": [flat[at : at + SLICE].tobytes()]})
+
+            def add(b: pd.DataFrame) -> pd.DataFrame:
+                g = sum(np.frombuffer(x) for x in b.g)
+                return pd.DataFrame({"s": [b.s.iloc[0]], "f": [b.f.sum()], "g": [g.tobytes()]})
+
+            got = blocks.mapInArrow(run, "s long, f double, g binary")
+            if parts > 1:  # sums of the partitions' sums: what the driver gets is one gradient
+                got = got.groupBy("s").applyInPandas(add, "s long, f double, g binary")
+            f, g = 0.0, np.zeros(w.size)
+            for r in got.collect():
+                f += r.f
+                part = np.frombuffer(r.g)
+                g[r.s * SLICE : r.s * SLICE + len(part)] += part
+            shared.destroy()
+            return f, g.reshape(w.shape)
 
         def fun(w: np.ndarray) -> tuple[float, np.ndarray]:
             f, g = total(w)
             return 0.5 * float((w * w).sum()) + c * f, w + c * g
 
-        w = lbfgs(fun, w)
-        if entries > LOCAL_ENTRIES:
-            d.unpersist()
-        return cls(w, labels)
+        return cls(lbfgs(fun, np.zeros((width + 1, outputs))), labels)
 
-    def decide(self, vectors: DataFrame) -> DataFrame:
-        """The rows with decision (array) and predicted (label, or value of a regressor)."""
-        shared = vectors.sparkSession.sparkContext.broadcast((self.weights, self.labels))
-        kind = "double" if self.labels is None else "string"
+    def decide(self, vectors: DataFrame, proba: bool = False) -> DataFrame:
+        """The rows with decision (array) and predicted (label, or value of a regressor). proba adds predict_proba, a
+        number for each class: the logistic function of the decisions, scaled to sum to 1."""
+        shared = vectors.sparkSession.sparkContext.broadcast(self.weights)
 
-        @F.pandas_udf("array<double>")
-        def scores(vec: pd.Series) -> pd.Series:
-            w, _ = shared.value
-            b = pd.DataFrame({"ids": vec.map(lambda v: [p["token_id"] for p in v]), "vals": vec.map(lambda v: [p["value"] for p in v]), "y": 0.0})
-            return pd.Series(list(Rows.of(b, len(w) - 1).times(w)))
+        @F.arrow_udf("array<double>")
+        def scores(ids: pa.Array, vals: pa.Array) -> pa.Array:
+            w = shared.value
+            f = Rows.of(ids, vals, np.zeros(len(ids)), len(w) - 1).times(w)
+            return pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1], f.ravel())
 
-        d = vectors.withColumn("decision", scores(F.col("vec")))
+        d = vectors.withColumn("decision", scores(_ids("vec"), _vals("vec")))
         if self.labels is None:
-            return d.withColumn("predicted", F.get("decision", 0).cast(kind))
-        names = F.array(*[F.lit(x) for x in self.labels])
+            return d.withColumn("predicted", F.get("decision", 0))
+        one = lambda x: 1 / (1 + F.exp(-x))
+        if proba:
+            if len(self.labels) == 2:
+                p = one(F.get("decision", 0))
+                d = d.withColumn("predict_proba", F.array(1 - p, p))
+            else:
+                each = F.transform("decision", one)
+                of_all = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+                d = d.withColumn("predict_proba", F.transform(each, lambda x: F.when(of_all > 0, x / of_all).otherwise(1.0 / len(self.labels))))
         if len(self.labels) == 2:
             return d.withColumn("predicted", F.when(F.get("decision", 0) > 0, self.labels[1]).otherwise(self.labels[0]))
+        names = F.array(*[F.lit(x) for x in self.labels])
         return d.withColumn("predicted", F.get(names, F.array_position("decision", F.array_max("decision")).cast("int") - 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -21,56 +23,73 @@ def unit_weights(vocab: DataFrame, n_docs: int) -> DataFrame:
     return vocab.withColumn("weight", F.lit(1.0))
 
 
-def entropy(vocab: DataFrame, tokens: DataFrame, label_col: str = "klass", tokens_col: str = "tokens") -> DataFrame:
-    """1 minus the normalised entropy of a token's classes, each class with 3 pseudo-counts."""
-    seen = exploded(tokens.withColumn("k", F.col(label_col).cast("string")), F.array_distinct(tokens_col), "k")
-    counts = seen.groupBy("token", "k").agg(F.count("*").alias("n"))
-    classes = tokens.select(F.col(label_col).cast("string").alias("k")).distinct()
-    grid = vocab.select("token").crossJoin(F.broadcast(classes))  # classes are few: labels, not data
-    full = grid.join(counts, ["token", "k"], "left").select("token", (F.coalesce("n", F.lit(0)) + 3).cast("double").alias("c"))
-    per = full.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.log2("c")).alias("cl"), F.count("*").alias("K"))
-    # sum p log2 p = sum(c log2 c) / s - log2 s
-    w = 1 + (F.col("cl") / F.col("s") - F.log2("s")) / F.when(F.col("K") > 2, F.log2(F.col("K").cast("double"))).otherwise(F.lit(1.0))
-    return vocab.join(per.select("token", w.alias("weight")), "token")
+def token_counts(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(id, token, n): how often each token occurs in each document; rows that repeat an id count as one document."""
+    return exploded(tokens, F.col(tokens_col), id_col).groupBy(id_col, "token").agg(F.count("*").alias("n"))
 
 
-def _known(tokens: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str, terms: int | None) -> DataFrame:
+def entropy(vocab: DataFrame, counts: DataFrame, labels: DataFrame, label_col: str = "klass", id_col: str = "doc_id") -> DataFrame:
+    """1 minus the normalised entropy of a token's classes, each class with 3 pseudo-counts. labels: (id, label)."""
+    labels = labels.select(id_col, F.col(label_col).cast("string").alias("k"))
+    classes = labels.select("k").distinct().count()
+    seen = counts.select(id_col, "token").join(labels, id_col).groupBy("token", "k").agg((F.count("*") + 3).cast("double").alias("c"))
+    # classes that a token lacks have 3 each, without a row for each
+    lack = F.lit(classes) - F.count("*")
+    s = F.sum("c") + 3.0 * lack
+    cl = F.sum(F.col("c") * F.log2("c")) + lack * F.lit(3.0) * F.log2(F.lit(3.0))
+    w = 1 + (cl / s - F.log2(s)) / F.lit(max(1.0, math.log2(classes)) if classes > 2 else 1.0)
+    return vocab.join(seen.groupBy("token").agg(w.alias("weight")), "token")
+
+
+def _known(counts: DataFrame, vocab: DataFrame, terms: int | None) -> DataFrame:
     v = vocab.select("token", "token_id", "weight")
     if terms is None:
         terms = vocab.count()
-    return exploded(tokens, F.col(tokens_col), id_col).join(F.broadcast(v) if terms <= BROADCAST_TERMS else v, "token")
+    return counts.join(F.broadcast(v) if terms <= BROADCAST_TERMS else v, "token")
 
 
-def term_freq(tokens: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", terms: int | None = None) -> DataFrame:
+def term_freq(counts: DataFrame, vocab: DataFrame, id_col: str = "doc_id", terms: int | None = None) -> DataFrame:
     """(id, token, token_id, tf): a token's share of the document's known tokens."""
-    n = _known(tokens, vocab, id_col, tokens_col, terms).groupBy(id_col, "token", "token_id", "weight").agg(F.count("*").alias("n"))
-    return n.withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy(id_col))).drop("n")
+    return _known(counts, vocab, terms).withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy(id_col))).drop("n")
 
 
-def tfidf(tokens: DataFrame, vocab: DataFrame, unit: bool = True, id_col: str = "doc_id", tokens_col: str = "tokens", terms: int | None = None) -> DataFrame:
+def tfidf(counts: DataFrame, vocab: DataFrame, unit: bool = True, id_col: str = "doc_id", terms: int | None = None) -> DataFrame:
     """(id, token, token_id, value): tf times weight, of length 1 per document if unit."""
-    x = term_freq(tokens, vocab, id_col, tokens_col, terms).withColumn("value", F.col("tf") * F.col("weight")).drop("tf", "weight")
+    x = term_freq(counts, vocab, id_col, terms).withColumn("value", F.col("tf") * F.col("weight")).drop("tf", "weight")
     if not unit:
         return x
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(id_col)))
     return x.withColumn("_l", norm).withColumn("value", F.when(F.col("_l") > 0, F.col("value") / F.col("_l")).otherwise(F.lit(0.0))).drop("_l")
 
 
-def tf(tokens: DataFrame, vocab: DataFrame, unit: bool = True, id_col: str = "doc_id", tokens_col: str = "tokens", terms: int | None = None) -> DataFrame:
+def tf(counts: DataFrame, vocab: DataFrame, unit: bool = True, id_col: str = "doc_id", terms: int | None = None) -> DataFrame:
     """Term frequencies alone; unit has no effect."""
-    return term_freq(tokens, vocab, id_col, tokens_col, terms).withColumnRenamed("tf", "value").drop("weight")
+    return term_freq(counts, vocab, id_col, terms).withColumnRenamed("tf", "value").drop("weight")
 
 
-def entropy_rows(tokens: DataFrame, vocab: DataFrame, unit: bool = True, id_col: str = "doc_id", tokens_col: str = "tokens", terms: int | None = None) -> DataFrame:
+def entropy_rows(counts: DataFrame, vocab: DataFrame, unit: bool = True, id_col: str = "doc_id", terms: int | None = None) -> DataFrame:
     """The weight of each distinct known token, neither counted nor normalised."""
-    once = tokens.select(id_col, F.array_distinct(tokens_col).alias(tokens_col))
-    return _known(once, vocab, id_col, tokens_col, terms).select(id_col, "token", "token_id", F.col("weight").alias("value"))
+    return _known(counts, vocab, terms).select(id_col, "token", "token_id", F.col("weight").alias("value"))
 
 
 #: Names of weightings: how documents become rows.
 ROWS: dict[str, Callable[..., DataFrame]] = {"tfidf": tfidf, "tf": tf, "entropy": entropy_rows}
 
 
+def rows_of(weighting: str) -> Callable[..., DataFrame]:
+    """One of ROWS, or any function of the same arguments by its dotted path; its vocabulary has inverse document
+    frequencies as weights."""
+    return ROWS[weighting] if weighting in ROWS else named(weighting)
+
+
+def named(path: str) -> Callable:
+    """What a dotted path names."""
+    module, _, name = path.rpartition(".")
+    if not module:
+        raise ValueError(f"neither a known name nor a dotted path: {path}")
+    return getattr(importlib.import_module(module), name)
+
+
 def as_vectors(long: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, vec, vecsize): pairs (token_id, value) in order of id; a document without known tokens has an empty vec."""
     v = long.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("token_id", "value"))).alias("vec"))

@@ -13,7 +13,8 @@ from ..config import TextConfig
 from ..functions.tokens import tokenized, tokenized_parts
 from ..operators import vocabulary as V
 from ..operators import weighting as W
-from ..operators.linear import LinearModel
+from ..operators.linear import MOST_LABELS, LinearModel
+from ..sources.tables import stored
 
 
 def _put(spark: SparkSession, path: str, obj: dict) -> None:
@@ -42,19 +43,37 @@ class TextModel:
         return tokenized(docs, config, text_col, keep=(id_col, *keep))
 
     @classmethod
-    def fit(cls, docs: DataFrame, config: TextConfig | None = None, text_col: str = "text", label_col: str = "klass", id_col: str = "doc_id") -> TextModel:
+    def counts(cls, docs: DataFrame, config: TextConfig, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+        """(id, token, n), written: texts are normalised and cut into tokens once, whatever is made of them later."""
+        return stored(W.token_counts(cls.tokenize(docs, config, text_col, id_col), id_col), "counts")
+
+    @classmethod
+    def fit(cls, docs: DataFrame, config: TextConfig | None = None, text_col: str = "text", label_col: str = "klass", id_col: str = "doc_id", counts: DataFrame | None = None) -> TextModel:
+        """counts: those of docs, if they are there already."""
         config = config or TextConfig()
-        labelled = config.weighting == "entropy"
-        tokens = cls.tokenize(docs, config, text_col, id_col, (label_col,) if labelled else ())
-        n = docs.count()
-        vocab = V.vocabulary(tokens, config, n)
-        vocab = W.entropy(vocab, tokens, label_col) if labelled else W.unit_weights(vocab, n) if config.weighting == "tf" else W.idf(vocab, n)
-        vocab = vocab.persist()
+        counts = cls.counts(docs, config, text_col, id_col) if counts is None else counts
+        n = docs.select(id_col).distinct().count()
+        vocab = V.vocabulary_of(counts.groupBy("token").agg(F.count("*").alias("df")), config, n)
+        if config.weighting == "entropy":
+            vocab = W.entropy(vocab, counts, docs.select(id_col, label_col), label_col, id_col)
+        else:
+            vocab = W.unit_weights(vocab, n) if config.weighting == "tf" else W.idf(vocab, n)
+        vocab = stored(vocab, "vocabulary")
         return cls(config, vocab, n, vocab.count())
 
+    @classmethod
+    def fit_long(cls, docs: DataFrame, config: TextConfig | None = None, text_col: str = "text", label_col: str = "klass", id_col: str = "doc_id") -> tuple[TextModel, DataFrame]:
+        """A model and the long vectors of the documents it is fitted on, from one pass over their texts."""
+        config = config or TextConfig()
+        counts = cls.counts(docs, config, text_col, id_col)
+        model = cls.fit(docs, config, text_col, label_col, id_col, counts)
+        return model, model.weighted(counts, id_col)
+
+    def weighted(self, counts: DataFrame, id_col: str = "doc_id", unit: bool | None = None) -> DataFrame:
+        return W.rows_of(self.config.weighting)(counts, self.vocab, self.config.unit_vector if unit is None else unit, id_col, terms=self.num_terms)
+
     def long(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: bool | None = None) -> DataFrame:
-        tokens = self.tokenize(docs, self.config, text_col, id_col)
-        return W.ROWS[self.config.weighting](tokens, self.vocab, self.config.unit_vector if unit is None else unit, id_col, terms=self.num_terms)
+        return self.weighted(W.token_counts(self.tokenize(docs, self.config, text_col, id_col), id_col), id_col, unit)
 
     def transform(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unit: bool | None = None) -> DataFrame:
         """(id, vec, vecsize) for every document."""
@@ -88,22 +107,28 @@ class TextClassifier:
     linear: LinearModel
 
     @classmethod
-    def fit(cls, docs: DataFrame, config: TextConfig | None = None, text_col: str = "text", target_col: str = "klass", id_col: str = "doc_id", labels: list[str] | None = None, regression: bool = False, text_model: TextModel | None = None) -> TextClassifier:
-        model = text_model or TextModel.fit(docs, config, text_col, target_col, id_col)
-        vec = model.transform(docs, text_col, id_col)
+    def fit(cls, docs: DataFrame, config: TextConfig | None = None, text_col: str = "text", target_col: str = "klass", id_col: str = "doc_id", labels: list[str] | None = None, regression: bool = False, text_model: TextModel | None = None, estimator: type | str = LinearModel) -> TextClassifier:
+        """estimator: LinearModel, or a class with its fit and decide, or the dotted path of one."""
+        estimator = W.named(estimator) if isinstance(estimator, str) else estimator
+        if text_model:
+            model, vec = text_model, text_model.transform(docs, text_col, id_col)
+        else:
+            model, long = TextModel.fit_long(docs, config, text_col, target_col, id_col)
+            vec = W.as_vectors(long, docs, id_col)
         if regression:
             y = docs.select(id_col, F.col(target_col).cast("double").alias("y"))
-            return cls(model, LinearModel.fit(vec.join(y, id_col), model.num_terms, None))
+            return cls(model, estimator.fit(vec.join(y, id_col), model.num_terms, None))
         k = F.col(target_col).cast("string")
         if labels is None:
-            labels = sorted(r.k for r in docs.select(k.alias("k")).distinct().collect())
+            labels = sorted(r.k for r in docs.select(k.alias("k")).distinct().limit(MOST_LABELS + 1).collect() if r.k is not None)
         index = F.array_position(F.array(*[F.lit(x) for x in labels]), k) - 1
         y = docs.select(id_col, F.when(k.isNotNull(), index).otherwise(F.raise_error(F.lit("a row without label")).cast("long")).alias("y"))
-        return cls(model, LinearModel.fit(vec.join(y, id_col), model.num_terms, labels))
+        return cls(model, estimator.fit(vec.join(y, id_col), model.num_terms, labels))
 
-    def predict(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-        """(id, decision, predicted)."""
-        return self.linear.decide(self.model.transform(docs, text_col, id_col)).select(id_col, "decision", "predicted")
+    def predict(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", proba: bool = False) -> DataFrame:
+        """(id, decision, predicted), and predict_proba if asked for."""
+        more = ["predict_proba"] if proba and self.linear.labels is not None else []
+        return self.linear.decide(self.model.transform(docs, text_col, id_col), bool(more)).select(id_col, "decision", "predicted", *more)
 
     def save(self, path: str) -> None:
         self.model.save(path)
