@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,7 @@ def do_train(a: argparse.Namespace) -> str:
 def do_predict(a: argparse.Namespace) -> str:
     model = TextClassifier.load(session(), a.model)
     docs = R.read_records(session(), a.files)
-    got = model.predict(docs, R.TEXT)
+    got = model.predict(docs, R.TEXT, proba=a.proba)
     if model.linear.labels is None:
         value = F.col("predicted")
         if a.ordinal:
@@ -80,8 +81,9 @@ def do_predict(a: argparse.Namespace) -> str:
         new = got.select("doc_id", value.alias("_value"))
         out = docs.join(new, "doc_id").withColumn(R.VALUE, F.col("_value")).drop("_value")
     else:
-        new = got.select("doc_id", F.col("decision").alias("decision_function"), "predicted")
-        out = docs.drop("decision_function", "predicted").join(new, "doc_id").withColumn(R.KLASS, F.col("predicted"))
+        more = ["predict_proba"] if a.proba else []
+        new = got.select("doc_id", F.col("decision").alias("decision_function"), "predicted", *more)
+        out = docs.drop("decision_function", "predicted", *more).join(new, "doc_id").withColumn(R.KLASS, F.col("predicted"))
     path = a.output or f"{a.files}.predicted"
     R.write_records(out.drop("is_static"), path)
     return path
@@ -104,9 +106,12 @@ def do_retrain(a: argparse.Namespace) -> str:
 
 
 def do_kfolds(a: argparse.Namespace) -> str:
-    """Out-of-fold decisions of each row; the text model is fitted on all rows."""
+    """Out-of-fold decisions of each row; the text model is fitted on all rows, or on those of the classes that
+    TEXTMODEL_KLASSES in the environment names, with commas between."""
     docs = splits.folds(_rows(a, a.files), a.folds, None if a.regression else R.KLASS, seed=a.seed).persist()
-    model = TextModel.fit(docs, _config(a), R.TEXT, _target(a))
+    some = os.environ.get("TEXTMODEL_KLASSES")
+    base = docs.filter(F.col(R.KLASS).isin(some.split(","))) if some and not a.regression else docs
+    model = TextModel.fit(base, _config(a), R.TEXT, _target(a))
     labels = None if a.regression else sorted(r[0] for r in docs.select(R.KLASS).distinct().collect())
     got = None
     for i in range(a.folds):
@@ -162,7 +167,6 @@ def parser() -> argparse.ArgumentParser:
 
     def learning(v: argparse.ArgumentParser) -> None:
         v.add_argument("-R", "--regression", action="store_true")
-        v.add_argument("-b", "--balance", action="store_true")
         v.add_argument("--conf")
         v.add_argument("-m", "--params")
         v.add_argument("-i", "--index", type=int, default=0)
@@ -181,9 +185,11 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-R", "--regression", action="store_true")
     v = verb("train")
     learning(v)
+    v.add_argument("-b", "--balance", action="store_true")
     v.add_argument("-l", "--labels")
     v = verb("predict", many=False, model=True)
     v.add_argument("--ordinal")
+    v.add_argument("--proba", action="store_true")
     verb("textmodel", many=False, model=True)
     v = verb("retrain", model=True)
     v = verb("kfolds")

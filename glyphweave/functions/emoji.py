@@ -8,14 +8,14 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DELETE, NONE
 
 EMOTICONS = {":)": "_pos", ":-)": "_pos", ":d": "_pos", ";)": "_pos", "=)": "_pos", "<3": "_pos", "xd": "_pos", "lol": "_pos", ":(": "_neg", ":-(": "_neg", ":'(": "_neg", "=(": "_neg", ">:(": "_neg", ":/": "_neg", ":|": "_neu", ":-|": "_neu", "-_-": "_neu"}
 SKIN = {chr(c) for c in range(0x1F3FB, 0x1F400)}
-_EMOJI_PROPERTY = 57  # EMOJI in ICU's list of binary properties
+SELECTOR, KEY_CAP = "\ufe0f", "\u20e3"
 
 
 class EmoticonTable:
@@ -82,19 +82,27 @@ def read_emoji_lines(lines: Iterable[str], held: dict[str, list[str]] | None = N
     return held
 
 
-def emoji_points(spark: SparkSession) -> DataFrame:
-    """(point): the code points with ICU's emoji property, from the arrows on, without modifiers."""
-    p = F.col("id").cast("int")
-    known = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("hasBinaryProperty"), p, F.lit(_EMOJI_PROPERTY)) == "true"
-    return spark.range(0x2190, 0x1FB00).select(p.alias("point"), known.alias("k")).filter("k").select("point").filter(~F.col("point").between(0x1F3FB, 0x1F3FF))
+def bare(emoji: str) -> str:
+    """Without skin tones, variation selectors and key caps."""
+    return "".join(c for c in emoji if c not in SKIN and c not in (SELECTOR, KEY_CAP))
 
 
 def emoji_table(spark: SparkSession) -> dict[str, str]:
-    """Emoji to the spaced emoji; skin tones, variation selectors and key caps come off. Of fixed size (Unicode's)."""
-    base = [chr(r.point) for r in emoji_points(spark).collect()]
-    table = {e: f"~{e}~" for e in base}
-    table |= {e + s: f"~{e}~" for e in base for s in (*SKIN, "️")}
-    return table | {"\U0001f9d1‍": "~\U0001f9d1~", "️": "", "⃣": ""}
+    """Emoji to the spaced bare emoji: all that ICU recommends for interchange, sequences of flags, key caps and joined
+    emojis included, and all other code points with the emoji property but digits and signs that stand in texts. Of fixed
+    size (Unicode's)."""
+    jvm = spark._jvm
+    listed = lambda pattern: jvm.java.lang.String.join("\n", jvm.com.ibm.icu.text.UnicodeSet(pattern)).split("\n")
+    sequences = listed("[:RGI_Emoji:]")
+    points = [e for e in listed("[[:Emoji:]-[:Emoji_Modifier:]]") if not e.isascii()]
+    table = {}
+    for e in {*sequences, *points}:
+        spaced = f"~{bare(e)}~"
+        table |= {e: spaced, e.replace(SELECTOR, ""): spaced}
+        if len(e) == 1:
+            table |= {e + s: spaced for s in (*SKIN, SELECTOR)}
+    table = {e: spaced for e, spaced in table.items() if not e.isascii() and e not in SKIN}
+    return table | {"\U0001f9d1\u200d": "~\U0001f9d1~", SELECTOR: "", KEY_CAP: ""}
 
 
 def build_trie(keys: Iterable[str]) -> dict:

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.normalize import SPACES
+
 TEXT, KLASS, VALUE = (os.environ.get(k, k.lower()) for k in ("TEXT", "KLASS", "VALUE"))
 STATIC = "static:"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): stripped, non-blank lines of a text file, gzipped or not."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> ''")
+    """(value): non-blank lines of a text file, gzipped or not, without white space of any kind at both ends."""
+    ends = f"^[{SPACES}]+|[{SPACES}]+$"
+    return spark.read.text(path).select(F.regexp_replace("value", ends, "").alias("value")).filter("value <> ''")
 
 
 def read_records(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, id_col: str = "doc_id") -> DataFrame:
