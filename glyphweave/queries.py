@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
@@ -10,8 +11,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
 from .config import TextConfig
-from .functions.emoji import emoticons
+from .functions.emoji import EMOTICONS, emoticons
 from .functions.normalize import PUNCTUATION, normalized
 from .functions.tokens import tokenized, tokenized_parts
 from .operators import metrics, splits
@@ -19,6 +21,8 @@ from .operators import vocabulary as V
 from .operators import weighting as W
 from .plans import search
 from .plans.model import TextClassifier, TextModel
+from .sources import records
+from .sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,7 +115,7 @@ u_ AS (SELECT {keys}, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w_),
 c_ AS (SELECT {keys}, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM w_),
 g_ AS ({union}),
 t_ AS (SELECT {keys}, list(t ORDER BY part, i, j) AS t FROM g_ WHERE {keep} GROUP BY {keys}),
-tok AS (SELECT {keys}, coalesce(t, ['~']) AS tokens FROM n_ LEFT JOIN t_ USING ({keys}))"""
+tok AS MATERIALIZED (SELECT {keys}, coalesce(t, ['~']) AS tokens FROM n_ LEFT JOIN t_ USING ({keys}))"""
 
 
 # --- 2.2 normalisation
@@ -246,7 +250,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.vocabulary(_docs_tokens(spark, sf_dir), WORDS, _n(spark, sf_dir))
 
 
-_BENCH = re.sub(r"\b([nwucgt])_\b", r"b\1_", tokens_cte(WORDS, "benchmark", "item_id")).replace("tok AS", "btok AS")
+_BENCH = re.sub(r"\b([nwucgt])_\b", r"b\1_", tokens_cte(WORDS, "benchmark", "item_id")).replace("tok AS MAT", "btok AS MAT")
 _COUNTERS = f"{_DF}, {_BENCH}, y AS (SELECT unnest(list_distinct(tokens)) AS token FROM btok), bf AS (SELECT token, count(*) AS df FROM y GROUP BY token)"
 
 
@@ -274,7 +278,7 @@ def counter_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 2.5 weights
 
 _VOC = f"{_DF}, v AS (SELECT token, df, log2({_SHARE} / df) AS weight FROM k)"
-_TF = f"{_VOC}, f AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS token FROM tok) JOIN v USING (token) GROUP BY doc_id, token), tf AS (SELECT doc_id, token, n / sum(n) OVER (PARTITION BY doc_id) AS tf FROM f)"
+_TF = f"{_VOC}, f AS (SELECT doc_id, token, any_value(weight) AS weight, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS token FROM tok) JOIN v USING (token) GROUP BY doc_id, token), tf AS (SELECT doc_id, token, weight, n / sum(n) OVER (PARTITION BY doc_id) AS tf FROM f)"
 
 
 def _model(spark: SparkSession, sf_dir: str, **changes: object) -> tuple[TextModel, DataFrame]:
@@ -288,8 +292,8 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf_dir: str, **changes: object) -> DataFrame:
-    m, docs = _model(spark, sf_dir, **changes)
-    return m.long(docs).select("doc_id", "token", F.round("value", 6).alias("value"))
+    docs = _read(spark, sf_dir, "documents").withColumnRenamed("lang", "klass")
+    return TextModel.fit_long(docs, replace(WORDS, **changes))[1].select("doc_id", "token", F.round("value", 6).alias("value"))
 
 
 @query("tf", f"{_TF} SELECT doc_id, token, round(tf, 6) AS value FROM tf")
@@ -297,12 +301,12 @@ def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir, weighting="tf")
 
 
-@query("tfidf_raw", f"{_TF} SELECT doc_id, token, round(tf * weight, 6) AS value FROM tf JOIN v USING (token)")
+@query("tfidf_raw", f"{_TF} SELECT doc_id, token, round(tf * weight, 6) AS value FROM tf")
 def tfidf_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir, unit_vector=False)
 
 
-@query("tfidf_unit", f"{_TF} SELECT doc_id, token, round(tf * weight / sqrt(sum(tf * weight * tf * weight) OVER (PARTITION BY doc_id)), 6) AS value FROM tf JOIN v USING (token)")
+@query("tfidf_unit", f"{_TF} SELECT doc_id, token, round(tf * weight / sqrt(sum(tf * weight * tf * weight) OVER (PARTITION BY doc_id)), 6) AS value FROM tf")
 def tfidf_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: normalise, tokenise, vocabulary, tf-idf unit vectors in long form."""
     return _long(spark, sf_dir)
@@ -439,7 +443,8 @@ _OSQL = "(doc_id * 7919) % 10007, doc_id"
 
 
 def _order() -> list:
-    return [(F.col("doc_id") * 7919) % 10007, F.col("doc_id")]
+    key = (F.col("doc_id") * 7919) % 10007
+    return [F.floor(key / 16), key, F.col("doc_id")]
 
 
 @query("holdout", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_OSQL}) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN r <= ceil(n * 0.7) THEN 'train' WHEN r <= ceil(n * 0.7) + ceil(n * 0.2) THEN 'test' END AS part FROM r")
@@ -468,7 +473,7 @@ def ordinal_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select("event_id", metrics.ordinal(F.col("value"), -2, 40).alias("predicted"))
 
 
-# --- 2.6 learning and search, 2.3 emoticons: tested for themselves, no SQL
+# --- 2.6 learning and search: tested for themselves, no SQL
 
 
 @query("svm_predict")
@@ -500,23 +505,148 @@ def kfold_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("param_search")
 def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurations in order of score, from one round of a small space."""
+    """Configurations in order of score: a round of samples from a space with open settings, then hill climbing."""
     docs = _read(spark, sf_dir, "documents").withColumnRenamed("lang", "klass")
-    space = {k: search.Fixed(v.draw(search.random.Random(0))) for k, v in search.default_space().items()}
-    space |= {"token_list": search.Choice([-1], [3]), "weighting": search.Fixed("tfidf"), "token_min_filter": search.Fixed(5), "emo_option": search.Fixed("none")}
-    s = search.Search(search.make_scorer(docs, "macrof1", holdout=(0.7, None)), space, batch=2)
-    found = s.run(climb=False)
-    rows = [(i, search.code(c), float(c["_score"])) for i, c in enumerate(found)]
+    space = {k: search.Fixed(getattr(WORDS, k)) for k in search.default_space()}
+    space |= {"token_list": search.Subset([-1, 3], 2), "weighting": search.Choice("tfidf", "tf"), "token_min_filter": search.Fixed(20), "del_punc": search.Boolean()}
+    s = search.Search(search.make_scorer(docs, "macrof1", holdout=(0.7, None)), space, batch=3)
+    rows = [(i, search.code(c), float(c["_score"])) for i, c in enumerate(s.run(rounds=1))]
     return spark.createDataFrame(rows, "place int, code string, score double")
 
 
-@query("emoticon_replace")
-def emoticon_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+# --- 2.3 emoticons and emojis
+
+
+def _codes(klass: str, pattern: str) -> str:
+    return "(?i)(" + "|".join(re.escape(c) for c in sorted(EMOTICONS, key=len) if not c.isalpha() and EMOTICONS[c] == klass) + ")" if pattern == "codes" else "(?i)\\b(" + "|".join(c for c in EMOTICONS if c.isalpha() and EMOTICONS[c] == klass) + ")\\b"
+
+
+def _emoticon_sql(option: str) -> str:
+    """One class after another, as no two codes of different classes overlap in the table; the last character is left."""
+    t = "('lol :) ' || text || ' :( ')"
+    t = f"regexp_replace({t}, {_lit(_codes('_pos', 'words'))}, '{'_pos' if option == 'group' else ''}', 'g')"
+    body = "left(t, length(t) - 1)"
+    for klass in ("_neg", "_pos", "_neu"):
+        body = f"regexp_replace({body}, {_lit(_codes(klass, 'codes'))}, '{klass if option == 'group' else ''}', 'g')"
+    return f"SELECT conv_id, turn, {body} || right(t, 1) AS text FROM (SELECT conv_id, turn, {t} AS t FROM conversations)"
+
+
+def _emoticons(option: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("lol :) "), "text", F.lit(" :( "))
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", emoticons(text, "group").alias("text"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", emoticons(text, option).alias("text"))
+
+
+query("emoticon_replace", _emoticon_sql("group"))(partial(_emoticons, "group"))
+query("emoticon_delete", _emoticon_sql("delete"))(partial(_emoticons, "delete"))
 
 
-@query("emoji_replace")
+@query("emoji_replace", f"WITH {norm_cte(WORDS, 'conversations', 'conv_id, turn')} SELECT conv_id, turn, '~\U0001f923~\U0001f923~\U0001f44f~©~\U0001f1ea\U0001f1f8~\U0001f468\u200d\U0001f469\u200d\U0001f467' || norm AS norm FROM n_")
 def emoji_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("\U0001f923\U0001f923 \U0001f44f\U0001f3fb "), "text").alias("text"))
+    """Emojis of one and of several code points before the texts."""
+    d = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("\U0001f923\U0001f923 \U0001f44f\U0001f3fb ©\ufe0f \U0001f1ea\U0001f1f8 \U0001f468\u200d\U0001f469\u200d\U0001f467 "), "text").alias("text"))
     return normalized(d, replace(WORDS, norm_emojis=True)).select("conv_id", "turn", "norm")
+
+
+@query("norm_keep_diac", f"WITH {norm_cte(replace(WORDS, del_diac=False))} SELECT doc_id, nfc_normalize(norm) AS norm FROM n_")
+def norm_keep_diac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks kept; composed again, as DuckDB has no decomposed form."""
+    d = _norm(replace(WORDS, del_diac=False), spark, sf_dir)
+    return d.select("doc_id", F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.col("norm"), F.lit(False)).alias("norm"))
+
+
+# --- 2.5 look-ups, unit_vector after fit
+
+
+@query("token2id", f"{_DF} SELECT token, (row_number() OVER (ORDER BY token) - 1)::INT AS token_id FROM k")
+def token2id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir)[0].token2id()
+
+
+@query("id2token", f"{_DF} SELECT token, (row_number() OVER (ORDER BY token) - 1)::INT AS token_id FROM k")
+def id2token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir)[0].id2token()
+
+
+@query("token_weight", f"{_VOC} SELECT (row_number() OVER (ORDER BY token) - 1)::INT AS token_id, round(weight, 6) AS weight FROM v")
+def token_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir)[0].token_weight().withColumn("weight", F.round("weight", 6))
+
+
+@query("num_terms", f"{_DF} SELECT count(*) AS num_terms FROM k")
+def num_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir)[0].vocab.agg(F.count("*").alias("num_terms"))
+
+
+@query("unit_after_fit", SQL["tfidf_unit"])
+def unit_after_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted without unit vectors, then asked for them."""
+    m, docs = _model(spark, sf_dir, unit_vector=False)
+    return m.long(docs, unit=True).select("doc_id", "token", F.round("value", 6).alias("value"))
+
+
+@query("saved_model", f"{_TF} SELECT d.doc_id, count(f.token)::INT AS vecsize FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id")
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model saved and loaded again."""
+    m, docs = _model(spark, sf_dir)
+    path = _folder(spark, "model")
+    m.save(path)
+    return TextModel.load(spark, path).transform(docs).select("doc_id", "vecsize")
+
+
+# --- 2.1 sources and 2.7 command line: tables written as JSON lines and read again
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_json(d: DataFrame, name: str) -> str:
+    path = _folder(d.sparkSession, name)
+    records.write_records(d, path)
+    return path
+
+
+@query("json_labels", "SELECT doc_id, text, lang AS klass FROM documents")
+def json_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("klass"))
+    return records.read_labels(records.read_records(spark, _as_json(docs, "docs")))
+
+
+@query("json_values", "SELECT doc_id, text, n_chars::DOUBLE AS value FROM documents")
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars").alias("value"))
+    return records.read_values(records.read_records(spark, _as_json(docs, "docs")))
+
+
+@query("json_static", "SELECT doc_id, text, false AS is_static FROM documents UNION ALL SELECT item_id, text, true FROM benchmark")
+def json_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files, one of them always trained on."""
+    docs = _as_json(_read(spark, sf_dir, "documents").select("doc_id", "text"), "docs")
+    fixed = _as_json(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "fixed")
+    return records.read_records(spark, [docs, records.STATIC + fixed]).select("doc_id", "text", "is_static")
+
+
+@query("line_reading", "SELECT line AS value, count(*) AS n FROM (SELECT trim(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM documents) WHERE line <> '' GROUP BY line")
+def line_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "lines")
+    _read(spark, sf_dir, "documents").filter("text is not null").select("text").write.option("compression", "gzip").text(path)
+    return records.read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("cli_perf", f"WITH {_GOLD}, {_CONF}, {_PER}, {_SCORES}")
+def cli_perf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command's scores of predictions against gold records."""
+    p = _predicted(spark, sf_dir)
+    gold, guess = _as_json(p.select("doc_id", "klass"), "gold"), _as_json(p.select("doc_id", F.col("predicted").alias("klass")), "guess")
+    got = cli.main(["perf", gold, guess])
+    names = ["accuracy", "macrof1", "macrorecall", "geometricf1", "harmonicf1", "macrof1accuracy", "microf1", "weightedf1"]
+    return _rounded(spark.createDataFrame([tuple(float(got[c]) for c in names)], ", ".join(f"{c} double" for c in names)))
+
+
+@query("cli_ensemble", SQL["majority_vote"].replace("SELECT doc_id, predicted FROM r", "SELECT doc_id, predicted AS klass FROM r"))
+def cli_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command's vote over three files of predictions."""
+    d = _read(spark, sf_dir, "documents")
+    voters = [F.col("lang"), F.when(F.col("doc_id") % 3 == 0, "en").otherwise("fr"), F.when(F.col("n_chars") % 2 == 0, "de").otherwise("fr")]
+    files = [_as_json(d.select("doc_id", v.alias("klass")), "votes") for v in voters]
+    return spark.read.json(cli.main(["ensemble", *files, "-o", _folder(spark, "voted")])).select("doc_id", "klass")

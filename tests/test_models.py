@@ -32,11 +32,13 @@ def test_idf_by_hand(spark):
     t = spark.createDataFrame([(1, list("abcd")), (2, list("ad")), (3, list("cd")), (4, ["d"])], "doc_id long, tokens array<string>")
     v = W.idf(V.vocabulary(t, TextConfig(), 4), 4)
     assert {r.token: (r.token_id, r.weight) for r in v.collect()} == {"a": (0, 1.0), "b": (1, 2.0), "c": (2, 1.0)}
-    x = {(r.doc_id, r.token): r.value for r in W.tfidf(t, v).collect()}
+    counts = W.token_counts(t)
+    x = {(r.doc_id, r.token): r.value for r in W.tfidf(counts, v).collect()}
     assert math.isclose(x[1, "b"], 2 / math.sqrt(6)) and x[3, "c"] == 1 and (4, "d") not in x
-    vec = {r.doc_id: r for r in W.as_vectors(W.tfidf(t, v), t).collect()}
+    vec = {r.doc_id: r for r in W.as_vectors(W.tfidf(counts, v), t).collect()}
     assert vec[4].vecsize == 0 and vec[1].vecsize == 3
-    assert V.with_ids(V.doc_freq(t), V.WINDOW_TERMS + 1).orderBy("token").select("token_id").collect() == [(i,) for i in range(4)]
+    for rows in (1, 2, 100):
+        assert V.with_ids(V.doc_freq(t), rows).orderBy("token").select("token_id").collect() == [(i,) for i in range(4)]
 
 
 def test_bounds():
@@ -90,16 +92,51 @@ def test_partitioned_training_gives_the_same_model(docs, monkeypatch):
     from glyphweave.operators import linear
 
     a = TextClassifier.fit(docs, TextConfig()).linear.weights
-    monkeypatch.setattr(linear, "LOCAL_ENTRIES", 0)
-    b = TextClassifier.fit(docs.repartition(3), TextConfig()).linear.weights
+    monkeypatch.setattr(linear, "PART_ENTRIES", 10)
+    monkeypatch.setattr(linear, "SLICE", 7)
+    b = TextClassifier.fit(docs, TextConfig()).linear.weights
     assert abs(a - b).max() < 1e-3
 
 
+def test_proba_and_named_parts(docs):
+    c = TextClassifier.fit(docs, TextConfig(weighting="glyphweave.operators.weighting.tfidf"), estimator="glyphweave.operators.linear.LinearModel")
+    for r in c.predict(docs, proba=True).collect():
+        assert math.isclose(sum(r.predict_proba), 1) and c.linear.labels[max(range(3), key=r.predict_proba.__getitem__)] == r.predicted
+    two = TextClassifier.fit(docs.filter("klass <> 'NEU'"), TextConfig())
+    assert all((r.predict_proba[1] > 0.5) == (r.predicted == "POS") for r in two.predict(docs, proba=True).collect())
+    with pytest.raises(ValueError):
+        W.named("nothing")
+
+
+def test_ranks_against_pandas(spark):
+    import pandas as pd
+
+    from glyphweave.operators.ranking import value_ranks
+
+    v = [float((i * 37) % 23) if i % 3 else 5.0 for i in range(300)]
+    want = pd.Series(v).rank()
+    counts = spark.createDataFrame([(x,) for x in v], "v double").groupBy("v").count()
+    for rows in (2, 5, 1000):
+        got = {r.v: (r.rank, r.place) for r in value_ranks(counts, "v", "count", "rank", "place", rows).collect()}
+        assert all(got[x][0] == y for x, y in zip(v, want, strict=True)) and [got[x][1] for x in sorted(got)] == list(range(len(got)))
+
+
+def test_environment_of_searches(monkeypatch):
+    monkeypatch.setenv("TOKENLIST", "[[2, 1], -1, 3]")
+    s = search.default_space()["token_list"]
+    assert s.items == [(2, 1), -1, 3] and s.most == 2
+
+
 def test_splits(docs):
     parts = [r.part for r in splits.holdout(docs, 0.5, 0.25).collect()]
     assert parts.count("train") == 5 and parts.count("test") == 3 and parts.count(None) == 1
     f = splits.folds(docs, 3, "klass").groupBy("klass", "fold").count().collect()
     assert len(f) == 9 and all(r["count"] == 1 for r in f)
+    assert [r.fold for r in splits.folds(docs, 9).orderBy("fold").collect()] == list(range(9))
+    twice = docs.unionByName(docs)  # rows that repeat an id are rows of their own
+    assert splits.holdout(twice, 0.5).filter("part = 'train'").count() == 9 and splits.folds(twice, 2, "klass").count() == 18
+    f = splits.balanced(docs.filter("doc_id <> 0"), "klass", faithful=True).collect()
+    assert len(f) == 6 and all(1 <= len(r.texts) <= 2 for r in f)
     b = splits.balanced(docs.filter("doc_id <> 0"), "klass").collect()
     assert len(b) == 6 and sum(len(r.texts) for r in b) == 8
     assert splits.parse_ratio("0.5:0.2") == (0.5, 0.2) and splits.parse_ratio("0.7") == (0.7, None)
@@ -142,7 +179,7 @@ def test_search_never_tries_twice_and_resumes():
     assert not set(seen[n:]) & set(seen[:n])
 
 
-def test_command_line(spark, docs, tmp_path):
+def test_command_line(spark, docs, tmp_path, monkeypatch):
     data = str(tmp_path / "data.json")
     with open(data, "w", encoding="utf-8") as f:
         for r in docs.orderBy("doc_id").collect():
@@ -154,9 +191,12 @@ def test_command_line(spark, docs, tmp_path):
     assert pred == data + ".predicted"
     s = cli.main(["perf", data, pred])
     assert s["accuracy"] == 1.0 and s["f1_POS"] == 1.0
+    assert "predict_proba" in spark.read.json(cli.predict("-m", model, "--proba", "-o", str(tmp_path / "p"), data)).columns
     assert "vec" in spark.read.json(cli.textmodel("-m", model, "-o", str(tmp_path / "vec"), data)).columns
     assert cli.retrain("-m", model, "-o", str(tmp_path / "model2"), data)
     assert spark.read.json(cli.kfolds("-k", "3", "-o", str(tmp_path / "kf"), data)).count() == 9
+    monkeypatch.setenv("TEXTMODEL_KLASSES", "POS,NEG")
+    assert spark.read.json(cli.kfolds("-k", "3", "-o", str(tmp_path / "kf2"), data)).count() == 9
     assert spark.read.json(cli.main(["ensemble", pred, pred, "-o", str(tmp_path / "ens")])).count() == 9
     cli.train("-R", "-o", str(tmp_path / "reg"), data)
     got = spark.read.json(cli.predict("-m", str(tmp_path / "reg"), "--ordinal", "0:30", "-o", str(tmp_path / "regp"), data))
@@ -172,6 +212,9 @@ def test_records(spark, tmp_path):
     with pytest.raises(Exception, match="without klass"):
         R.read_labels(d).collect()
     assert R.read_lines(spark, p).count() == 2
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("\t x\u00a0\n \t\r\n\u2003\n\ny z\x0b\n")
+    assert [r.value for r in R.read_lines(spark, p).collect()] == ["x", "y z"]
     with pytest.raises(ValueError):
         R.write_params([{"_error": "x", "_score": 0}], str(tmp_path / "p"))
 
