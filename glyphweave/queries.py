@@ -508,8 +508,8 @@ def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations in order of score: a round of samples from a space with open settings, then hill climbing."""
     docs = _read(spark, sf_dir, "documents").withColumnRenamed("lang", "klass")
     space = {k: search.Fixed(getattr(WORDS, k)) for k in search.default_space()}
-    space |= {"token_list": search.Subset([-1, 3], 2), "weighting": search.Choice("tfidf", "tf"), "token_min_filter": search.Fixed(20), "del_punc": search.Boolean()}
-    s = search.Search(search.make_scorer(docs, "macrof1", holdout=(0.7, None)), space, batch=3)
+    space |= {"token_list": search.Subset([-1, 3], 2), "weighting": search.Choice("tfidf", "tf"), "token_min_filter": search.Fixed(20)}
+    s = search.Search(search.make_scorer(docs, "macrof1", holdout=(0.7, None)), space, batch=4, threads=4)
     rows = [(i, search.code(c), float(c["_score"])) for i, c in enumerate(s.run(rounds=1))]
     return spark.createDataFrame(rows, "place int, code string, score double")
 
