@@ -1,19 +1,22 @@
-"""Parity-sketch self-join on the Jaccard similarity of word n-gram sets.
-
-Each document's set falls into a size band (bands grow by 1/threshold, one of them ends at STRICT, so partners lie in
-the same or the next one, and every document is sketched for both). A sketch XORs one bit per n-gram into words 2^64 bits wide, of which only the XOR
-of the hashes of the set bits is kept as a join key, and, folded to 64 bits a word, the bits themselves: the Hamming
-distance of two sketches never exceeds the size of the symmetric difference, folded or not. Sets of up to STRICT n-grams
-are cut strictly by pigeonhole: one word more than the largest symmetric difference that the threshold allows, so that a
-pair must agree in a word. For larger sets that many words would hold about two n-grams each, which common phrases fill
-alike; there WORDS words get at most LOAD n-grams each (the band's largest sets), from independent hashings or a hash
-sample, and a pair at the threshold agrees in one with probability 1 - (1 - exp(-LOAD * 2(1-t)/(1+t))) ** WORDS, over
-0.98 for 0.6, more for nearer pairs and smaller sets of a band.
-
-Rows with the same set are one content, the node of all that follows. All pairs of contents that agree in a word are held
-against each other by sketch: those of a run of up to RUN contents as links, those of a longer run in blocks, of whose
-hits only the links that keep them connected go on. So nothing is thinned before it is tested; a passage that m contents
-share costs m * m sketch distances. Connected components are verified exactly, all pairs of a component in blocks.
+"""Exact self-join on the Jaccard similarity of word n-gram sets: rarest n-grams as keys, parity sketches, verification.
+
+All n-grams have one order: those that a sample of the documents repeats come last, by their count there, equal ones by
+hash. Two sets that reach the threshold t have their first 1 + SPARE common n-grams (all, if t asks for fewer) within the
+first n - ceil(t * n) + 1 + SPARE of either, so that these are the keys of a set, and no such pair has fewer in common. The
+sample decides on run lengths only, never on results. A key goes with its place and the set's size: the places of these
+common n-grams leave room for the overlap that t asks for, and sizes are in the proportion t. Both tests are rounded so
+that they err towards keeping.
+
+A sketch XORs one bit per n-gram of the whole set into a power of two of bits, by size band (bands grow by 1/t, one of them
+ends at STRICT); folding it in halves gives the shorter sketch. The Hamming distance of two sketches never exceeds the
+size of the symmetric difference, folded or not, and is held against the largest one that t allows: no pair that reaches t
+is dropped.
+
+Rows with the same set are one content, the node of all that follows. The pairs of key runs of up to RUN contents are
+counted, and those with 1 + SPARE keys tested by sketch: a pair with fewer reaches t only if it meets in a longer run. Of
+such a run, each content is tested with NEXT others at first; only contents that no link connects by then are held against each other, all pairs in blocks, of whose hits only the links that keep them connected go on. A
+passage that m contents share and that isn't in the sample costs m * m sketch distances if they aren't near each other.
+Connected components are verified exactly, all pairs of a component in blocks.
 
 Results: classes() has a row for each document, (doc_id, class_id, links): the least doc_id that it is connected with
 (its own if there is none) and the number of other documents whose similarity with it reaches the threshold, copies
@@ -39,9 +42,13 @@ from pyspark.sql import functions as F
 
 from .common import drop, mix64, normal_bytes, shingle_set, shuffle_parts, small, word_hashes, written
 
-N, THRESHOLD, WORDS, LOAD, STRICT, BLOCK = 3, 0.6, 48, 5.0, 24, 1500
-RUN, RUN_BLOCK = 16, 4000
-MARKS = "doc_id long, n int, node long, low int, keys array<long>, sketch_low binary, sketch_high binary"
+N, THRESHOLD, STRICT, BLOCK = 3, 0.6, 24, 1500
+RUN, RUN_BLOCK, NEXT, SPARE = 64, 4000, 4, 2
+#: Documents from whose n-grams the order is taken (a sixteenth of the table at most), and n-grams that it may name.
+SAMPLE, COMMON = 65_536, 1_000_000
+#: Keys of a task's rows for one slot; steps of the logarithm of sizes that a key carries.
+BLOB, STEPS = 256, 2048
+MARKS = "doc_id long, n int, node long, keys binary, sketch binary"
 
 
 def size_band(n: int, t: float) -> int:
@@ -57,38 +64,21 @@ def band_top(band: int, t: float) -> float:
     return STRICT * t ** (_strict_band(t) - band)
 
 
-def plan(band: int, t: float) -> tuple[int, int, float, float]:
-    """(words a hashing, words in all, sampled share, largest symmetric difference) for pairs whose larger set is in band."""
-    top = band_top(band, t)
-    far = (1 - t) / (1 + t) * 2 * top
-    if band <= _strict_band(t):
-        return int(far + 1e-9) + 1, 3 * (int(far + 1e-9) + 1), 1.0, far
-    if top >= LOAD * WORDS:
-        return WORDS, WORDS, LOAD * WORDS / top, far
-    return math.ceil(top / LOAD - 1e-9), WORDS, 1.0, far
-
-
-def sketch(grams: np.ndarray, band: int, t: float) -> tuple[np.ndarray, bytes]:
-    """Keys of the words that hold something, over all hashings, and the words of the first as bytes."""
-    words, in_all, share, _ = plan(band, t)
-    keys, first = [], b""
-    for r in range(-(-in_all // words)):
-        h = mix64(grams ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        if share < 1:
-            h = mix64(h[(h >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))])
-        word = (h & np.uint64(0xFFFFFFFF)) * np.uint64(words) >> np.uint64(32)
-        if not r:
-            spot = word * np.uint64(64) + ((h >> np.uint64(32)) & np.uint64(63))
-            first = np.packbits(np.bincount(spot.astype(np.int64), minlength=words * 64).astype(np.uint8) & 1).tobytes()
-        if words * (r + 1) > in_all:  # the last hashing gives what is lacking
-            h, word = h[word < in_all - words * r], word[word < in_all - words * r]
-        if not len(h):
-            continue
-        o = np.argsort(word, kind="stable")
-        word, h = word[o], mix64(h[o])
-        start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        keys.append(mix64(np.bitwise_xor.reduceat(h, start) ^ mix64(word[start] + np.uint64((band * 64 + r) << 20))))
-    return (np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64), first
+def prefix(grams: np.ndarray, t: float, common: np.ndarray | None = None, count: np.ndarray | None = None) -> np.ndarray:
+    """The first n-grams of a sorted set in the order of all: 1 + SPARE of them are among those of any set that reaches t."""
+    k = len(grams) - math.ceil(t * len(grams) - 1e-9) + 1 + SPARE
+    if common is None or not len(common):
+        return grams[:k]
+    at = np.searchsorted(common, grams)
+    at[at == len(common)] = 0
+    return grams[np.argsort(np.where(common[at] == grams, count[at], 0), kind="stable")[:k]]
+
+
+def sketch(grams: np.ndarray, band: int, t: float, common: np.ndarray | None = None, count: np.ndarray | None = None) -> tuple[np.ndarray, bytes]:
+    """The keys of a sorted set, and its parity sketch as bytes: at least four bits for each n-gram of a full band."""
+    bits = 1 << max(6, math.ceil(math.log2(4 * band_top(band, t))))
+    spot = (mix64(grams ^ np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)).astype(np.int64)
+    return prefix(grams, t, common, count).view(np.int64), np.packbits(np.bincount(spot, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -97,129 +87,252 @@ def node_of(grams: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def marks(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """A row for each document that has an id: the node of its set, its band, the keys and both sketches; n is 0 and the
-    rest null where there is no n-gram."""
+def _to_slots(batches: Iterator[tuple[np.ndarray, np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
+    """(slot, blob) rows of 64-bit hashes and of the records that go with them, by the upper half of the hashes."""
+
+    def blobs(h: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+        slot = ((h >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+        o = np.argsort(slot, kind="stable")
+        slot, rec = slot[o], rec[o]
+        start = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        cut = np.append(start, len(slot))
+        return pa.RecordBatch.from_arrays([pa.array(slot[start], pa.int32()), pa.array([rec[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["slot", "blob"])
+
+    hs, recs, held = [], [], 0
+    for h, rec in batches:
+        hs.append(h), recs.append(rec)
+        held += len(h)
+        if held >= slots * BLOB or held >= 1 << 22:
+            yield blobs(np.concatenate(hs), np.concatenate(recs))
+            hs, recs, held = [], [], 0
+    if held:
+        yield blobs(np.concatenate(hs), np.concatenate(recs))
+
+
+def _by_slot(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """All records of each slot of a task."""
+    got: dict[int, list[bytes]] = {}
+    for b in batches:
+        for slot, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got.setdefault(slot, []).append(blob)
+    for slot in list(got):
+        yield np.frombuffer(b"".join(got.pop(slot)), np.uint64).reshape(-1, width)
+
+
+def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that more than one document of a sample has (sorted), and by how many, up to 255."""
+    parts, rows = shuffle_parts(docs.sparkSession), docs.count()
+    share = min(1 / 16, SAMPLE / max(1, rows))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = (shingle_set(normal_bytes(x), n) for b in batches for x in b.column(0).to_pylist())
+        return _to_slots(((g, g) for g in sets if len(g)), parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rec in _by_slot(batches, 1):
+            g, k = np.unique(rec[:, 0], return_counts=True)
+            g, k = g[k > 1], k[k > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.minimum(k, 255), pa.int32())], names=["g", "k"])
+
+    part = docs.select("text").sample(False, share, 7).mapInArrow(grams, "slot int, blob binary")
+    got = part.repartition(parts, "slot").mapInArrow(count, "g long, k int").orderBy(F.desc("k"), "g").limit(COMMON).toArrow()
+    g, k = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy().astype(np.uint8)
+    o = np.argsort(g)
+    return g[o], k[o]
+
+
+def marks(docs: DataFrame, n: int, t: float, keys: bool = True) -> DataFrame:
+    """A row for each document that has an id: the node of its set, its keys and its sketch; n is 0 and the rest null where
+    there is no n-gram."""
+    known = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n)) if keys else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = known.value if known else (None, None)
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g = shingle_set(normal_bytes(text), n)
                 if i is None:
                     continue
+                g = shingle_set(normal_bytes(text), n)
                 if not len(g):
-                    rows.append((i, 0, None, None, None, None, None))
-                    continue
-                low = size_band(len(g), t)
-                (k0, s0), (k1, s1) = sketch(g, low, t), sketch(g, low + 1, t)
-                rows.append((i, len(g), node_of(g), low, np.concatenate([k0, k1]), s0, s1))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                    rows.append((i, 0, None, None, None))
+                elif not keys:
+                    rows.append((i, len(g), node_of(g), None, None))
+                else:
+                    k, bits = sketch(g, size_band(len(g), t), t, common, count)
+                    rows.append((i, len(g), node_of(g), k.tobytes(), bits))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in MARKS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, MARKS)
 
 
-def runs(m: DataFrame) -> DataFrame:
-    """(run, a, b): all pairs (run null) of the contents that have a key in common if these are few; else the contents a
-    of the run (b null) under a name that another key's run of the same contents has too."""
-    few = RUN
+def _room(code: np.ndarray, other: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
+    """Whether the overlap that t asks for, but SPARE, fits behind a set's place, with sizes and places rounded in favour
+    of it."""
+    ratio, spare = np.exp((other - code - 1) / STEPS), SPARE * np.exp((1 - code) / STEPS)
+    return place / 255 * (1 - t) <= 1 - t / (1 + t) * (1 + ratio) + spare + 1e-6
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc = [], []
-        for b in batches:
-            key.append(b.column(0).to_numpy()), doc.append(b.column(1).to_numpy())
-        if not key:
-            return
-        key, doc = np.concatenate(key), np.concatenate(doc)
-        o = np.lexsort((doc, key))
-        key, doc = key[o], doc[o]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-        key, doc = key[new], doc[new]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(start, len(key)))
-        of = np.repeat(size, size)
-        at = np.arange(len(key)) - np.repeat(start, size)
-        pair = []
-        for back in range(1, few):
-            j = np.flatnonzero((at >= back) & (of <= few))
-            pair.append(np.column_stack([doc[j - back], doc[j]]))
-        pair = np.unique(np.concatenate(pair), axis=0) if few > 1 else np.empty((0, 2), np.int64)
-        for i in range(0, len(pair), 100_000):
-            a, b = pair[i : i + 100_000].T
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["run", "a", "b"])
-        done = set()
-        for i, k in zip(start[size > few], size[size > few], strict=True):
-            own = doc[i : i + k]
-            if (name := node_of(own.view(np.uint64))) not in done:
-                done.add(name)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(own), pa.nulls(k, pa.int64())], names=["run", "a", "b"])
 
-    parts = shuffle_parts(m.sparkSession)
-    keys = m.select(F.explode("keys").alias("k"), "node").repartition(parts, "k")
-    return keys.mapInArrow(run, "run long, a long, b long").distinct()
+def runs(m: DataFrame, t: float) -> DataFrame:
+    """(run, a, b): pairs (run null) of contents that have enough keys of runs of up to RUN contents in common to reach t,
+    and some of longer runs; of these also the contents a (b null), under a name that another key's run of the same
+    contents has too."""
+    few, spare, following, parts = RUN, SPARE, NEXT, shuffle_parts(m.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                for node, n, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    h = mix64(np.frombuffer(keys, np.uint64))
+                    code = min(65535, round(math.log(n) * STEPS))
+                    place = (np.arange(len(h)) / (n * (1 - t) + 1e-9) * 255).astype(np.uint64) if len(h) > 1 else np.zeros(1, np.uint64)
+                    rec = np.empty((len(h), 2), np.uint64)
+                    rec[:, 0] = h << np.uint64(24) | np.uint64(code << 8) | np.minimum(place, np.uint64(255))
+                    rec[:, 1] = np.int64(node).view(np.uint64)
+                    yield h, rec
 
+        return _to_slots(records(), parts)
 
-def _bound(n: np.ndarray, share: float, t: float) -> np.ndarray:
-    """The largest sketch distance of near pairs whose sizes add up to n (for sampled sketches: but for 4 standard
-    deviations)."""
-    far = (1 - t) / (1 + t) * n * share
-    return far + (4 * np.sqrt(far) if share < 1 else 0) + 1e-9
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for rec in _by_slot(batches, 2):
+            rec = rec[np.argsort(rec[:, 0] >> np.uint64(24), kind="stable")]
+            key = rec[:, 0] >> np.uint64(24)
+            same = key[1:] == key[:-1]
+            some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            rec = rec[some]
+            if not len(rec):
+                continue
+            node = rec[:, 1].view(np.int64)
+            rec = rec[np.lexsort((node, rec[:, 0] >> np.uint64(24)))]
+            key, node = rec[:, 0] >> np.uint64(24), rec[:, 1].view(np.int64)
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            rec, key, node = rec[new], key[new], node[new]
+            code, place = (rec[:, 0] >> np.uint64(8) & np.uint64(65535)).astype(np.int32), (rec[:, 0] & np.uint64(255)).astype(np.int32)
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            of, at = np.repeat(size, size), np.arange(len(key)) - np.repeat(start, size)
+            ids, nth = np.unique(node, return_inverse=True)
+            asked = t / (1 + t) * np.rint(np.exp(code / STEPS))
+            once, sure, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(key))
+            for back in range(1, max(few, following + 1)):
+                j = j[(at[j] >= back) & ((of[j] <= few) | (back <= following))]
+                if not len(j):
+                    break
+                i = j - back
+                ok = np.abs(code[i] - code[j]) <= -math.log(t) * STEPS + 1
+                x, y = i[ok], j[ok]
+                ok = _room(code[x], code[y], place[x], t) & _room(code[y], code[x], place[y], t)
+                x, y = x[ok], y[ok]
+                few_asked = (of[x] > few) | (asked[x] + asked[y] <= spare + 1e-3)  # one key is enough
+                pair = nth[x] * len(ids) + nth[y]
+                once.append(pair[~few_asked]), sure.append(pair[few_asked])
+            pair, keys = np.unique(np.concatenate(once), return_counts=True)
+            more = np.unique(np.concatenate(sure))
+            pair, keys = np.concatenate([pair, more]), np.concatenate([keys, np.full(len(more), 1 + spare)])
+            for i in range(0, len(pair), 100_000):
+                (a, b), k = np.divmod(pair[i : i + 100_000], len(ids)), keys[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(ids[a]), pa.array(ids[b]), pa.array(k)], names=["run", "a", "b", "keys"])
+            for i, k in zip(start[size > few], size[size > few], strict=True):
+                own = node[i : i + k]
+                if (name := node_of(own.view(np.uint64))) not in done:
+                    done.add(name)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(own), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["run", "a", "b", "keys"])
+
+    sent = m.select("node", "n", "keys").mapInArrow(send, "slot int, blob binary").repartition(parts, "slot")
+    found = sent.mapInArrow(run, "run long, a long, b long, keys long").groupBy("run", "a", "b").agg(F.sum("keys").alias("keys"))
+    return found.filter(F.col("run").isNotNull() | (F.col("keys") > SPARE)).drop("keys")
+
+
+def _fold(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches folded to so many 64-bit words."""
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def _may(h: np.ndarray, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets of x and y n-grams may reach t if their sketches differ in h bits."""
+    return (h <= (1 - t) / (1 + t) * (x + y) + 1e-9) & (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9)
 
 
 def near_links(link: DataFrame, side: DataFrame, t: float) -> DataFrame:
     """The pairs whose sketches leave the threshold possible."""
-    half = lambda x: side.select(F.col("node").alias(x), F.struct("n", "low", "sketch_low", "sketch_high").alias(f"m{x}"))
-    both = link.join(half("a"), "a").join(half("b"), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.ma, b.mb, strict=True):
-                x, y = (x, y) if x["low"] <= y["low"] else (y, x)
-                if y["low"] - x["low"] > 1:
-                    ok.append(False)
-                    continue
-                p = x["sketch_low"] if x["low"] == y["low"] else x["sketch_high"]
-                h = int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(y["sketch_low"], np.uint64)).sum())
-                ok.append(h <= _bound(x["n"] + y["n"], plan(y["low"], t)[2], t))
-            yield b.loc[np.array(ok, bool), ["a", "b"]]
+    half = lambda x: side.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = link.join(half("a"), "a").join(half("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
-    return both.mapInPandas(run, "a long, b long")
+    def flat(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) // 8
+        return np.frombuffer(c.buffers()[2], np.uint64, count=int(at[-1])), at[:-1], np.diff(at)
 
-
-def near_in_runs(member: DataFrame, side: DataFrame, t: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            (x, xa, xw), (y, ya, yw) = flat(b.column(4)), flat(b.column(5))
+            ok = np.zeros(b.num_rows, bool)
+            for u, v in np.unique(np.column_stack([xw, yw]), axis=0):
+                i = np.flatnonzero((xw == u) & (yw == v))
+                p, q = x[xa[i][:, None] + np.arange(u)], y[ya[i][:, None] + np.arange(v)]
+                h = np.bitwise_count(_fold(p, min(u, v)) ^ _fold(q, min(u, v))).sum(axis=1, dtype=np.int64)
+                ok[i] = _may(h, na[i], nb[i], t)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_in_runs(member: DataFrame, side: DataFrame, comp: DataFrame, t: float) -> DataFrame:
     """(a, b): of the pairs within a long run whose sketches leave the threshold possible, links that connect the same
-    contents. A run is held against itself in pairs of blocks."""
-    blocks = member.groupBy("run").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks"))
-    one = member.join(blocks, "run").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    one = one.select("run", "block", F.expr("explode(sequence(0, blocks - 1))").alias("o"), F.col("a").alias("node"))
-    sent = one.join(side.select("node", "n", "low", "sketch_low", "sketch_high"), "node").withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    contents as all of them and those of comp do. Runs of which comp connects all contents are settled; others are held
+    against themselves in pairs of blocks."""
+    known = member.join(comp.select(F.col("doc_id").alias("a"), F.col("comp").alias("had")), "a", "left").withColumn("had", F.coalesce("had", "a"))
+    open_ = known.groupBy("run").agg(F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks"), F.min("had").alias("lo"), F.max("had").alias("hi")).filter("lo < hi")
+    one = known.join(open_.select("run", "blocks"), "run").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    one = one.select("run", "block", "had", F.expr("explode(sequence(0, blocks - 1))").alias("o"), F.col("a").alias("node"))
+    sent = one.join(side.select("node", "n", "sketch"), "node").withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("node")
-        band = b.low.max()
-        bits = np.stack([np.frombuffer(x if k == band else y, np.uint64) for k, x, y in zip(b.low, b.sketch_low, b.sketch_high, strict=True)])
-        node, n, share = b.node.to_numpy(), b.n.to_numpy(), plan(int(band), t)[2]
+        node, n = b.node.to_numpy(), b.n.to_numpy()
+        width = np.array([len(x) // 8 for x in b.sketch])
+        row, bits = np.zeros(len(b), np.int64), {}
+        for w in np.unique(width):
+            k = np.flatnonzero(width == w)
+            row[k] = np.arange(len(k))
+            bits[w] = np.stack([np.frombuffer(x, np.uint64) for x in b.sketch.iloc[k]])
+        root = np.unique(b.had, return_inverse=True)[1]
+        first = np.unique(root, return_index=True)[1]
+        root = first[root]  # of each content, the place of one that it is connected with
+        had = root.copy()
         p, q = np.flatnonzero(b.block == b.i), np.flatnonzero(b.block == b.j)
-        root = np.arange(len(b))
-        step = max(1, (1 << 24) // max(1, len(q)))
-        for k in range(0, len(p), step):
-            r = p[k : k + step]
-            h = np.zeros((len(r), len(q)), np.uint16)
-            for w in range(bits.shape[1]):
-                h += np.bitwise_count(bits[r, w][:, None] ^ bits[q, w][None, :])
-            hit = h <= _bound(n[r][:, None] + n[q][None, :], share, t)
-            for x, ok in zip(r, hit, strict=True):
-                near = q[ok]
-                near = near[root[near] != root[x]]
-                if len(near):
-                    old = np.unique(np.append(root[near], root[x]))
-                    root[np.isin(root, old)] = old[0]
-        far = np.flatnonzero(root != np.arange(len(b)))
+        most = np.bincount(root).argmax()
+
+        def meet(p: np.ndarray, q: np.ndarray) -> None:
+            for u in np.unique(width[p]):
+                for v in np.unique(width[q]):
+                    x, y, w = p[width[p] == u], q[width[q] == v], min(u, v)
+                    right = np.ascontiguousarray(_fold(bits[v][row[y]], w).T)
+                    step = max(1, (1 << 22) // len(y))
+                    for k in range(0, len(x), step):
+                        r = x[k : k + step]
+                        left, h = _fold(bits[u][row[r]], w), np.zeros((len(r), len(y)), np.uint32)
+                        for c in range(w):
+                            h += np.bitwise_count(left[:, c][:, None] ^ right[c][None, :])
+                        for z, ok in zip(r, _may(h, n[r][:, None], n[y][None, :], t), strict=True):
+                            near = root[y[ok]]
+                            near = near[near != root[z]]
+                            if len(near):
+                                old = np.unique(np.append(near, root[z]))
+                                root[np.isin(root, old)] = old[0]
+
+        meet(p[had[p] == most], q[had[q] != most])
+        meet(p[had[p] != most], q)
+        far = np.flatnonzero(root != had)
         u, v = node[far], node[root[far]]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
 
     return sent.groupBy("run", "i", "j").applyInPandas(run, "a long, b long")
 
@@ -248,9 +361,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets of a with those of b, from incidence matrices in pieces."""
-    flat, inv = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    ga, gb = np.concatenate(a), np.concatenate(b)
+    flat = np.intersect1d(ga, gb)  # an n-gram of one side only is in no intersection
     ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    ca, cb = inv[: len(ra)], inv[len(ra) :]
+    ka, kb = np.isin(ga, flat), np.isin(gb, flat)
+    ra, ca, rb, cb = ra[ka], np.searchsorted(flat, ga[ka]), rb[kb], np.searchsorted(flat, gb[kb])
     oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
     ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
     out = np.zeros((len(a), len(b)), np.float32)
@@ -271,14 +386,19 @@ def _verified(docs: DataFrame, n: int, t: float, emit: Callable, kind: str) -> t
     block's rows and columns, the sizes of intersections and unions, and which pairs reach t."""
     m = written(marks(docs, n, t), "marks")
     some = m.filter("n > 0")
-    found = written(runs(some), "runs")
-    side = some.select("node", "n", "low", "sketch_low", "sketch_high").dropDuplicates(["node"])
-    near = near_links(found.filter("run is null").select("a", "b"), side, t)
+    found = written(runs(some, t), "runs")
+    ends = written(found.select("a").union(found.filter("b is not null").select("b")).distinct().toDF("node"), "ends")
+    side = written(some.select("node", "n", "sketch").join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "side")
+    near = written(near_links(found.filter("run is null").select("a", "b"), side, t), "near")
+    comp = written(components(near), "components")
     long = found.filter("run is not null").select("run", "a")
     if not long.isEmpty():
-        near = near.unionByName(near_in_runs(long, side, t))
-    comp = written(components(near), "components")
-    drop(found)
+        more = written(near_in_runs(long, side, comp, t), "near")
+        if not more.isEmpty():
+            comp = written(components(near.unionByName(more)), "components")
+        drop(more)
+    for x in (near, found, ends, side):
+        drop(x)
     size = comp.groupBy("comp").agg(F.count("*").alias("members"))
     place = comp.join(size, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     place = place.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumnRenamed("doc_id", "node")
@@ -339,7 +459,7 @@ def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
 
 def membership(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_id, rep): the representative of each document's content."""
-    m = written(marks(docs, n, t).select("doc_id", "node", "n"), "marks").filter("n > 0")
+    m = written(marks(docs, n, t, keys=False).select("doc_id", "node", "n"), "marks").filter("n > 0")
     return m.join(m.groupBy("node").agg(F.min("doc_id").alias("rep")), "node").select("doc_id", "rep")
 
 

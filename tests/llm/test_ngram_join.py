@@ -2,7 +2,7 @@ import numpy as np
 from edges import EN, clashing, edges, empty, table
 
 from glyphweave.llm import ngram_join as J
-from glyphweave.llm.common import normal_bytes, shingle_set
+from glyphweave.llm.common import mix64, normal_bytes, shingle_set
 
 
 def corpus(seed=0, docs=120):
@@ -152,3 +152,64 @@ def test_a_repeated_id_with_another_text(spark):
     assert pairs(table(spark, rows)) == {(1, 7), (2, 7)}
     kept = sorted((r.doc_id, r.text) for r in J.keep_one(table(spark, rows)).collect())
     assert kept == [(1, EN), (2, other), (7, "a text of its own here")]
+
+
+def at_threshold(rng, n, k, first):
+    """k pairs of texts of n words, of which as many 3-grams are shared as the threshold asks for, and no more."""
+    rows, t, grams = [], J.THRESHOLD, n - 2
+    for i in range(first, first + 2 * k, 2):
+        shared = -(-int(2 * grams * t * 1000) // int((1 + t) * 1000))
+        w = [f"{x:x}" for x in rng.integers(0, 2**60, 2 * n)]
+        rows.append((i, " ".join(w[:n]), "en", "s", 1))
+        rows.append((i + 1, " ".join(w[: shared + 2] + w[n : 2 * n - shared - 2]), "en", "s", 1))
+    return rows
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    rng, rows = np.random.default_rng(8), []
+    for n in (12, 42, 68, 113, 187):
+        rows += at_threshold(rng, n, 100, len(rows))
+    want = {(i, i + 1) for i in range(0, len(rows), 2)}
+    sets = [set(shingle_set(normal_bytes(r[1]), 3).tolist()) for r in rows]
+    assert all(len(sets[i] & sets[j]) >= J.THRESHOLD * len(sets[i] | sets[j]) for i, j in want)
+    assert pairs(table(spark, rows)) == want
+
+
+def test_a_difference_within_one_part_of_the_hash_values(spark):
+    """A sketch of a hash sample would see the whole difference of this pair and a fifth of what it shares."""
+    rng, n, shared = np.random.default_rng(9), 1270, 953
+
+    def grow(words, k):
+        while len(words) < k:
+            new = f"{rng.integers(0, 2**60):x}"
+            g = shingle_set(normal_bytes(" ".join([*words[-2:], new])), 3)
+            if mix64(g ^ np.uint64(0x9E3779B97F4A7C15))[0] >> np.uint64(40) < np.uint64(0.15 * (1 << 24)):
+                words = [*words, new]
+        return words
+
+    base = [f"{x:x}" for x in rng.integers(0, 2**60, shared + 2)]
+    rows = [(i, " ".join(grow(base, n + 2)), "en", "s", 1) for i in (1, 2)]
+    assert pairs(table(spark, rows)) == {(1, 2)} == J.brute_force([1, 2], [r[1] for r in rows])
+
+
+def test_sketches_of_unequal_bands_fold(spark):
+    rng = np.random.default_rng(10)
+    g = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    (_, x), (_, y) = (J.sketch(np.sort(g), b, J.THRESHOLD) for b in (J.size_band(100, J.THRESHOLD), J.size_band(900, J.THRESHOLD)))
+    x, y = np.frombuffer(x, np.uint64)[None, :], np.frombuffer(y, np.uint64)[None, :]
+    assert x.shape[1] < y.shape[1] and (J._fold(y, x.shape[1]) == x).all()
+
+
+def test_contents_of_a_long_run_that_no_link_connects(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    fresh = lambda k: [f"x{v}" for v in rng.integers(0, 2**60, k)]
+    passage, rows = [f"p{k}" for k in range(30)], []
+    for i in range(0, 160, 2):
+        own = fresh(20)
+        rows += [(i, " ".join(passage + own), "en", "s", 1), (i + 1, " ".join(passage + own[:15] + fresh(5)), "en", "s", 1)]
+    want = J.brute_force([r[0] for r in rows], [r[1] for r in rows])
+    assert len(want) >= 80
+    monkeypatch.setattr(J, "common_grams", lambda docs, n: (np.empty(0, np.uint64), np.empty(0, np.uint8)))  # no order but by hash
+    for few, nxt, block in ((64, 4, 4000), (2, 0, 4000), (2, 0, 30), (16, 1, 50)):
+        monkeypatch.setattr(J, "RUN", few), monkeypatch.setattr(J, "NEXT", nxt), monkeypatch.setattr(J, "RUN_BLOCK", block)
+        assert pairs(table(spark, rows)) == want, (few, nxt, block)
