@@ -43,9 +43,10 @@ from pyspark.sql import functions as F
 from .common import drop, mix64, normal_bytes, shingle_set, shuffle_parts, small, word_hashes, written
 
 N, THRESHOLD, STRICT, BLOCK = 3, 0.6, 24, 1500
-RUN, RUN_BLOCK, NEXT, SPARE = 64, 4000, 4, 2
-#: Documents from whose n-grams the order is taken (a sixteenth of the table at most), and n-grams that it may name.
-SAMPLE, COMMON = 65_536, 1_000_000
+RUN, RUN_BLOCK, NEXT, SPARE = 128, 4000, 4, 2
+#: Share of the documents from whose n-grams the order is taken (of the table, so that the runs of what it doesn't name don't
+#: grow with it), and n-grams that it names at most.
+SAMPLE, COMMON = 1 / 16, 2_000_000
 #: Keys of a task's rows for one slot; steps of the logarithm of sizes that a key carries.
 BLOB, STEPS = 256, 2048
 MARKS = "doc_id long, n int, node long, keys binary, sketch binary"
@@ -120,9 +121,8 @@ def _by_slot(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarr
 
 
 def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that more than one document of a sample has (sorted), and by how many, up to 255."""
-    parts, rows = shuffle_parts(docs.sparkSession), docs.count()
-    share = min(1 / 16, SAMPLE / max(1, rows))
+    """The n-grams that most documents of a sample have, more than one at least (sorted), and by how many, up to 255."""
+    parts = shuffle_parts(docs.sparkSession)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = (shingle_set(normal_bytes(x), n) for b in batches for x in b.column(0).to_pylist())
@@ -134,8 +134,16 @@ def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             g, k = g[k > 1], k[k > 1]
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.minimum(k, 255), pa.int32())], names=["g", "k"])
 
-    part = docs.select("text").sample(False, share, 7).mapInArrow(grams, "slot int, blob binary")
-    got = part.repartition(parts, "slot").mapInArrow(count, "g long, k int").orderBy(F.desc("k"), "g").limit(COMMON).toArrow()
+    part = docs.select("text").sample(False, SAMPLE, 7).mapInArrow(grams, "slot int, blob binary")
+    counts = written(part.repartition(parts, "slot").mapInArrow(count, "g long, k int"), "common")
+    least, held = 256, 0
+    for k, rows in sorted(map(tuple, counts.groupBy("k").count().collect()), reverse=True):
+        held += rows
+        if held > COMMON:
+            break
+        least = k
+    got = counts.filter(F.col("k") >= least).toArrow()
+    drop(counts)
     g, k = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy().astype(np.uint8)
     o = np.argsort(g)
     return g[o], k[o]
@@ -359,10 +367,15 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets of a with those of b, from incidence matrices in pieces."""
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], same: bool = False) -> np.ndarray:
+    """Sizes of all intersections of the sets of a with those of b, from incidence matrices in pieces; if these are the same
+    sets, of different ones only."""
     ga, gb = np.concatenate(a), np.concatenate(b)
-    flat = np.intersect1d(ga, gb)  # an n-gram of one side only is in no intersection
+    if same:
+        flat, k = np.unique(ga, return_counts=True)
+        flat = flat[k > 1]
+    else:
+        flat = np.intersect1d(ga, gb)  # an n-gram of one side only is in no intersection
     ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
     ka, kb = np.isin(ga, flat), np.isin(gb, flat)
     ra, ca, rb, cb = ra[ka], np.searchsorted(flat, ga[ka]), rb[kb], np.searchsorted(flat, gb[kb])
@@ -419,7 +432,7 @@ def _verified(docs: DataFrame, n: int, t: float, emit: Callable, kind: str) -> t
         sets = [shingle_set(normal_bytes(x), n) for x in b.text]
         blk, size = b.block.to_numpy(), np.array([len(s) for s in sets])
         p, q = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        inter = _overlaps([sets[k] for k in p], [sets[k] for k in q]).astype(np.int64) if len(p) and len(q) else np.zeros((len(p), len(q)), np.int64)
+        inter = _overlaps([sets[k] for k in p], [sets[k] for k in q], i == j).astype(np.int64) if len(p) and len(q) else np.zeros((len(p), len(q)), np.int64)
         union = size[p][:, None] + size[q][None, :] - inter
         hit = inter >= t * union - 1e-9
         if i == j:

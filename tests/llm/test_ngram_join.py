@@ -213,3 +213,12 @@ def test_contents_of_a_long_run_that_no_link_connects(spark, monkeypatch):
     for few, nxt, block in ((64, 4, 4000), (2, 0, 4000), (2, 0, 30), (16, 1, 50)):
         monkeypatch.setattr(J, "RUN", few), monkeypatch.setattr(J, "NEXT", nxt), monkeypatch.setattr(J, "RUN_BLOCK", block)
         assert pairs(table(spark, rows)) == want, (few, nxt, block)
+
+
+def test_phrases_that_many_share_stay_out_of_the_keys(spark):
+    """Runs must not grow with the table: each text is half its own, half phrases of a common stock."""
+    rng = np.random.default_rng(12)
+    stock = [" ".join(f"s{v}" for v in rng.integers(0, 2**60, 10)) for _ in range(20)]
+    texts = [" ".join([*rng.choice(stock, 5, replace=False), *(f"x{v}" for v in rng.integers(0, 2**60, 50))]) for _ in range(3000)]
+    m = J.marks(table(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)]), 3, J.THRESHOLD)
+    assert J.runs(m, J.THRESHOLD).count() < 1000
